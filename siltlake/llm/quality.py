@@ -52,7 +52,7 @@ RULES = (
     Rule("long_words", "word_chars", "n_words", 1500),
     Rule("symbols", "n_symbols", "n_words", 10),
     Rule("stop_words", "n_stop_words", "n_words", 3, kind="at_least"),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", 30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", 60),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", 30),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", 90),
 )

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding, tokenfile, urlfilter
+from . import bpe, mixing, quality, sharding, simhash, tokenfile, urlfilter
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe(table(spark, sf_dir, "documents"), vocabulary_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality_rules": quality_rules,
     "op4_mixed_sources": mixed_sources,
     "op5_jump_shards": jump_shards,
+    "op6_simhash_groups": simhash_groups,
     "op8_bpe_chunks": bpe_chunks,
     "op10_url_rules": url_rules,
 }
