@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding, simhash, tokenfile, urlfilter
+from . import bpe, langid, mixing, quality, sharding, simhash, tokenfile, toxicity, urlfilter
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,10 +46,20 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe(table(spark, sf_dir, "documents"), vocabulary_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -60,6 +70,8 @@ QUERIES: dict[str, Query] = {
     "op4_mixed_sources": mixed_sources,
     "op5_jump_shards": jump_shards,
     "op6_simhash_groups": simhash_groups,
+    "op7_toxicity_scores": toxicity_scores,
     "op8_bpe_chunks": bpe_chunks,
+    "op9_language_filters": language_filters,
     "op10_url_rules": url_rules,
 }
