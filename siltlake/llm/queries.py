@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, sharding, simhash, tokenfile, toxicity, urlfilter
+from . import bpe, langid, mixing, quality, sharding, simhash, tokenfile, topk, toxicity, urlfilter
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary_path())
@@ -65,6 +69,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_cover_tree_topk": cover_tree_topk,
     "op2_token_files": token_files,
     "op3_quality_rules": quality_rules,
     "op4_mixed_sources": mixed_sources,

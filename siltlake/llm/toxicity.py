@@ -36,7 +36,7 @@ IDENTITY_TERMS = (
 #: Labelled rows of each label that the model is fitted on, at most.
 SAMPLE = 3000
 #: Word beginnings that count as features, in letters.
-PREFIXES = (2, 3, 4, 5, 6)
+PREFIXES = (4, 5, 6)
 #: Features of the model, at most, and rows of the sample that each must be in.
 FEATURES, SUPPORT = 4096, 4
 FOLDS = 5
@@ -134,7 +134,7 @@ def _matrix(rows: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.repeat(np.arange(len(rows)), sizes)[on], at[on]
 
 
-def fit(table: pa.Table, features: int = FEATURES, support: int = SUPPORT, counterfactual: float = 1.0, ridge: float = 2e-3, steps: int = 400) -> Model:
+def fit(table: pa.Table, features: int = FEATURES, support: int = SUPPORT, counterfactual: float = 1.0, ridge: float = 1e-3, steps: int = 400) -> Model:
     """Logistic regression by Adam over the sample; ``counterfactual`` weighs
     the squared change of the score between paired sentences."""
     kind = np.array(table.column("kind").to_pylist(), object)
