@@ -16,11 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ADD, DELETE = 0, 1
-SCHEMA = T.StructType.fromDDL(
-    "kind byte, key string, path string, format string, partition map<string,string>, bucket int, total_buckets int, level int, schema_id int, "
-    "row_count long, size long, min_sequence long, max_sequence long, first_row_id long, write_cols array<string>, delete_count long, "
-    "unique_keys boolean, low map<string,string>, high map<string,string>, nulls map<string,long>, snapshot_id long, blob boolean"
-)
+_TEXT_MAP = T.MapType(T.StringType(), T.StringType())
+SCHEMA = T.StructType(
+    [
+        T.StructField(name, kind)
+        for name, kind in {
+            "kind": T.ByteType(), "key": T.StringType(), "path": T.StringType(), "format": T.StringType(), "partition": _TEXT_MAP, "bucket": T.IntegerType(),
+            "total_buckets": T.IntegerType(), "level": T.IntegerType(), "schema_id": T.IntegerType(), "row_count": T.LongType(), "size": T.LongType(),
+            "min_sequence": T.LongType(), "max_sequence": T.LongType(), "first_row_id": T.LongType(), "write_cols": T.ArrayType(T.StringType()),
+            "delete_count": T.LongType(), "unique_keys": T.BooleanType(), "low": _TEXT_MAP, "high": _TEXT_MAP, "nulls": T.MapType(T.StringType(), T.LongType()),
+            "snapshot_id": T.LongType(), "blob": T.BooleanType(),
+        }.items()
+    ]
+)
 #: Values longer than this get no bounds in the statistics.
 LONGEST_BOUND = 64
 
