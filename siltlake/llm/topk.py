@@ -37,7 +37,7 @@ K, SCALE = 5, 256
 SAMPLE, CENTRES = 2048, 64
 #: Smallest and largest block of rows on a side, and blocks aimed at.
 SMALLEST, LARGEST, AIM = 2048, 65536, 32
-LEAF, FAN = 128, 8
+LEAF, QUERY_LEAF, FAN = 128, 32, 8
 #: Pairs of blocks that are broadcast; more are joined by shuffle.
 BROADCAST_PAIRS = 100_000
 
@@ -90,7 +90,7 @@ class Node:
     children: list[Node]
 
 
-def cover_tree(x: np.ndarray, leaf: int = LEAF, fan: int = FAN) -> Node:
+def cover_tree(x: np.ndarray, leaf: int, fan: int = FAN) -> Node:
     """Each node's centre is one of its points and covers all of them within its
     radius; children are picked farthest first and keep the parent's centre."""
 
@@ -137,7 +137,7 @@ class DualSearch:
     def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query id, candidate id, score), at most k per query."""
         if len(self.q) and len(self.x):
-            top_q, top_x = cover_tree(self.q.astype(np.float64)), cover_tree(self.x.astype(np.float64))
+            top_q, top_x = cover_tree(self.q.astype(np.float64), QUERY_LEAF), cover_tree(self.x.astype(np.float64), LEAF)
             stack = [(np.inf, top_q, top_x)]
             while stack:
                 bound, q, x = stack.pop()
