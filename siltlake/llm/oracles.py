@@ -33,9 +33,10 @@ with d as (
   select row_number() over () as r, doc_id, coalesce(text, '') as text, {_WORDS} as w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
   from documents),
-g as (select r, unnest(range(1, len(w) - 1)) as i, w from d where len(w) >= 4),
-h as (select r, i, count(*) over (partition by r, w[i], w[i + 1], w[i + 2]) as n from g),
-c as (select r, count(distinct i + k) as n from h, range(3) t(k) where h.n > 1 group by r),
+t as (select r, unnest(w) as a, generate_subscripts(w, 1) as i from d),
+g as (select r, i, a, lead(a) over o as b, lead(a, 2) over o as c from t window o as (partition by r order by i)),
+h as (select r, i, count(*) over (partition by r, a, b, c) as n from g where c is not null),
+c as (select r, count(distinct i + k) as n from h, range(3) k(k) where h.n > 1 group by r),
 f as (
   select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
@@ -72,20 +73,27 @@ select doc_id, size, source_size, case when source_size > 0 then target else 0 e
 from u
 """
 
+
+
+def _nibbles() -> str:
+    """Remainders of the 16 low half-bytes under the reflected CRC-32 polynomial."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ 0xEDB88320 * (n & 1)
+        table.append(n)
+    return f"{table}::bigint[]"
+
+
+_LOW = f"xor(a >> 4, {_nibbles()}[(xor(a, x) & 15) + 1])"
+_BOTH = f"xor(({_LOW}) >> 4, {_nibbles()}[(xor({_LOW}, x >> 4) & 15) + 1])"
+
 ORACLES["op5_jump_shards"] = rf"""
-with recursive t as (
-  -- the checksum's table: eight shifts of each byte, bits leaving on the right fold in the polynomial
-  select i as n, i::bigint as c, 0 as k from range(256) r(i)
-  union all
-  select n, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from t where k < 8),
-tab as (select list(c order by n) as t from t where k = 8),
-d as (
-  select row_number() over () as r, doc_id, octet_length(encode(coalesce(text, ''))) as bytes, hex(encode(coalesce(text, ''))) as h,
-    md5(coalesce(doc_id::varchar, '')) as m from documents),
-c as (
-  select d.*, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(bytes), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
-    lambda a, x: xor(a >> 8, tab.t[(xor(a, x) & 255) + 1])), 4294967295) as crc
-  from d, tab),
+with recursive d as (
+  select row_number() over () as r, doc_id, octet_length(encode(coalesce(text, ''))) as bytes, md5(coalesce(doc_id::varchar, '')) as m,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) as b
+  from documents),
+c as (select r, doc_id, bytes, m, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda a, x: {_BOTH}), 4294967295) as crc from d),
 j as (
   select r, n, 0::bigint as b, 0::bigint as j, ('0x' || substr(m, 1, 15))::hugeint as k from d, (values ({SHARDS}), ({SHARDS + 1})) s(n)
   union all
@@ -103,14 +111,14 @@ from q
 
 ORACLES["op10_url_rules"] = rf"""
 with p as (
-  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+  select row_number() over () as n, page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 h as (
-  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  select n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path from p),
 r(verdict, host, path) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
   ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 m as (
-  select h.page_id, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(verdict, length(r.host || r.path)) as verdict
-  from h join r on (h.host = r.host or ends_with(h.host, '.' || r.host)) and starts_with(h.path, r.path) group by h.page_id)
-select page_id, host, path, rule, coalesce(verdict, '{DEFAULT}') as verdict from h left join m using (page_id)
+  select h.n, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(verdict, length(r.host || r.path)) as verdict
+  from h join r on (h.host = r.host or ends_with(h.host, '.' || r.host)) and starts_with(h.path, r.path) group by h.n)
+select page_id, host, path, rule, coalesce(verdict, '{DEFAULT}') as verdict from h left join m using (n)
 """
