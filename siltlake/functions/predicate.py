@@ -197,3 +197,26 @@ def may_match(p: Predicate, stats: dict[str, tuple[Any, Any, int | None]], rows:
         return {"eq": low <= v <= high, "ne": not low == high == v, "lt": low < v, "le": low <= v, "gt": high > v, "ge": high >= v}.get(p.op, True)
     except TypeError:
         return True
+
+
+def may_match_column(p: Predicate, schema: T.StructType) -> Column:
+    """``may_match`` over manifest rows: maps ``low``, ``high`` (text), ``nulls``,
+    and ``row_count``. True where nothing is known."""
+    if isinstance(p, Compound):
+        parts = [may_match_column(c, schema) for c in p.children]
+        return functools.reduce(operator.and_ if p.op == "and" else operator.or_, parts)
+    kind = schema[p.field].dataType
+    nulls, rows = F.col("nulls")[p.field], F.col("row_count")
+    if p.op == "is_null":
+        return F.coalesce(nulls > 0, F.lit(True))
+    some = F.coalesce(nulls < rows, F.lit(True))
+    if p.op == "is_not_null" or is_nested(kind) or isinstance(kind, T.BinaryType):
+        return some
+    low, high = (F.col(side)[p.field].try_cast(kind) for side in ("low", "high"))
+    v = [F.lit(x).cast(kind) for x in p.literals]
+    inside = lambda x: (low <= x) & (high >= x)
+    tests = {
+        "eq": lambda: inside(v[0]), "in": lambda: functools.reduce(operator.or_, map(inside, v)), "ne": lambda: ~((low == v[0]) & (high == v[0])),
+        "lt": lambda: low < v[0], "le": lambda: low <= v[0], "gt": lambda: high > v[0], "ge": lambda: high >= v[0],
+    }
+    return some & F.coalesce(tests[p.op](), F.lit(True)) if p.op in tests else some

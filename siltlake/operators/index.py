@@ -143,7 +143,7 @@ def read_indexed(table: LakeTable, predicate: P.Predicate, columns: list[str] |
     indexed = functools.reduce(lambda a, b: a & b, [set(e["files"]) for e in plan.snapshot.indexes if e["column"] in P.fields(predicate) and e["kind"] in EXACT])
     inside = Plan(plan.snapshot, [f for f in plan.files if f["key"] in indexed])
     outside = Plan(plan.snapshot, [f for f in plan.files if f["key"] not in indexed])
-    gone = table.spark.read.parquet(*[f"{table.root}/{d}" for d in plan.snapshot.deletions]) if plan.snapshot.deletions else None
+    gone = table.deleted_rows(plan.snapshot.deletions) if plan.snapshot.deletions else None
     out = []
     if inside.files:
         rows = _rows(table, inside, table.schema.fields.names).join(chosen, ["key", "position"], "left_semi")

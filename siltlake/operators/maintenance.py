@@ -14,7 +14,7 @@ from ..sources.table import Changes, LakeTable, key_text
 
 
 def _metadata_of(s: Snapshot) -> set[str]:
-    return {*s.base, *s.delta, *s.deletions, *(e["path"] for e in s.indexes)}
+    return {*s.base, *s.delta, *(e["path"] for e in (*s.deletions, *s.indexes))}
 
 
 def expire_snapshots(table: LakeTable, retain_min: int | None = None, retain_max: int | None = None, older_than_ms: int | None = None, most: int | None = None) -> int:

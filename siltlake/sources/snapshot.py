@@ -22,7 +22,7 @@ class Snapshot:
     millis: int
     total_rows: int
     delta_rows: int
-    deletions: list[str] = field(default_factory=list)
+    deletions: list[dict] = field(default_factory=list)
     indexes: list[dict] = field(default_factory=list)
     watermark: int | None = None
     next_row_id: int | None = None
@@ -96,6 +96,9 @@ class Snapshots:
                 high = mid - 1
         return best
 
-    def of_user(self, user: str) -> list[int]:
-        """Commit identifiers of a user among the snapshots that are kept."""
-        return [s.identifier for s in map(self.read, self.ids()) if s.user == user]
+    def last_of_user(self, user: str) -> int | None:
+        """The identifier of a user's last commit among the snapshots kept."""
+        for n in reversed(self.ids()):
+            if (s := self.read(n)).user == user:
+                return s.identifier
+        return None

@@ -44,7 +44,7 @@ class Changes:
 
     added: list[dict[str, Any]] = field(default_factory=list)
     deleted: list[Row] = field(default_factory=list)
-    deletions: str | None = None
+    deletions: dict | None = None
     indexes: list[dict] | None = None
     schema_id: int = 0
 
@@ -127,26 +127,36 @@ class LakeTable:
             where.append(F.col("bucket") != POSTPONE)
         for lo, hi in [(min(a for a, _ in row_ranges), max(b for _, b in row_ranges))] if row_ranges else []:
             where.append((F.col("first_row_id") + F.col("row_count") > lo) & (F.col("first_row_id") <= hi))
+        prunable = self._prunable(predicate) if not delta else None
+        if prunable is not None:
+            # statistics are under the names and types of the schema they were written with
+            where.append((F.col("schema_id") != self.schema.id) | P.may_match_column(prunable, schema))
         entries = M.read(self.spark, self.root, s.delta if delta else s.base + s.delta)
         cond = functools.reduce(lambda a, b: a & b, where) if where else None
         found = entries.filter(F.col("kind") == M.ADD) if delta else M.live(entries)
-        files = (found if cond is None else found.filter(cond)).orderBy("min_sequence", "key").collect()
+        found = found if cond is None else found.filter(cond)
+        # of the statistics, the driver gets what it tests itself
+        used = sorted(P.fields(prunable) | set(self.schema.trimmed_keys[:1]))
+        less = {c: F.map_filter(c, lambda k, _: k.isin(*used)) if used else F.lit(None).cast(M.SCHEMA[c].dataType) for c in ("low", "high", "nulls")}
+        files = found.withColumns(less).orderBy("min_sequence", "key").collect()
         if row_ranges:
             inside = lambda f: any(f["first_row_id"] + f["row_count"] > a and f["first_row_id"] <= b for a, b in row_ranges)
             files = [f for f in files if f["first_row_id"] is not None and inside(f)]
-        if predicate is not None and not delta:
-            files = self._prune(files, predicate)
+        if prunable is not None:
+            files = self._prune(files, prunable)
         if limit is not None and predicate is None and not self.has_keys and not s.deletions and not delta:
             files = self._enough(files, limit)
         return Plan(s, files, delta)
 
-    def _prune(self, files: list[Row], predicate: P.Predicate) -> list[Row]:
-        """Drop files whose statistics rule a match out. Below a merge only keys
-        may prune; columns written by parts of the rows prune nothing."""
-        if self.has_keys:
-            predicate = P.pick(predicate, lambda names: names <= set(self.schema.primary_keys))
+    def _prunable(self, predicate: P.Predicate | None) -> P.Predicate | None:
+        """What of a predicate may drop files: below a merge its keys only; with
+        columns of the same rows in several files, nothing."""
         if predicate is None or self.options.flag("data-evolution.enabled"):
-            return files
+            return None
+        return P.pick(predicate, lambda names: names <= set(self.schema.primary_keys)) if self.has_keys else predicate
+
+    def _prune(self, files: list[Row], predicate: P.Predicate) -> list[Row]:
+        """Drop files whose statistics rule a match out, those of older schemas too."""
         parse = lambda text, kind: P.parse_literal(text, kind, "")
         cache: dict[int, T.StructType] = {}
         kept = []
@@ -266,20 +276,22 @@ class LakeTable:
         alone = len(section) == 1 and section[0]["unique_keys"] and section[0]["delete_count"] == 0
         (raw if alone else mixed).extend(section)
 
-    def scan_files(self, files: list[Row], deletions: list[str] = ()) -> DataFrame:
+    def scan_files(self, files: list[Row], deletions: list[dict] = ()) -> DataFrame:
         """Rows of data files as the schema of now has them, with sequence
         numbers, kinds and, under row tracking, row ids; without merging."""
+        # only files that have deleted rows are joined with these
+        touched = {k for d in deletions for k in d["files"]}
         groups: dict[tuple, list[Row]] = {}
         for f in files:
-            groups.setdefault((f["schema_id"], f["format"], tuple(f["write_cols"] or ())), []).append(f)
-        parts = [self._scan_group(sid, fmt, list(cols), fs, deletions) for (sid, fmt, cols), fs in sorted(groups.items(), key=lambda g: str(g[0]))]
+            groups.setdefault((f["schema_id"], f["format"], tuple(f["write_cols"] or ()), f["key"] in touched), []).append(f)
+        parts = [self._scan_group(sid, fmt, list(cols), fs, deletions if hit else []) for (sid, fmt, cols, hit), fs in sorted(groups.items(), key=lambda g: str(g[0]))]
         if not parts:
             kinds = {SEQ: "long", KIND: "byte", ROW_ID: "long"}
             fields = [*self.schema.fields.fields, *[T.StructField(n, T._parse_datatype_string(kinds[n])) for n in self._all_names() if n in kinds]]
             return self.spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
         return functools.reduce(DataFrame.unionByName, parts)
 
-    def _scan_group(self, schema_id: int, fmt: str, write_cols: list[str], files: list[Row], deletions: list[str]) -> DataFrame:
+    def _scan_group(self, schema_id: int, fmt: str, write_cols: list[str], files: list[Row], deletions: list[dict]) -> DataFrame:
         old = self.schema if schema_id == self.schema.id else self.schemas.read(schema_id)
         stored = [f for f in old.fields.fields if not write_cols or f.name in write_cols]
         # physical names are the schema's of that time; files without a record kind hold inserts only
@@ -294,7 +306,7 @@ class LakeTable:
             ids = self.spark.createDataFrame([(f["key"], f["first_row_id"], f["max_sequence"]) for f in files], "__key string, __first long, __last long")
             df = df.join(F.broadcast(ids) if len(files) <= BROADCAST_FILES else ids, "__key")
         if deletions:
-            gone = self.spark.read.parquet(*[f"{self.root}/{d}" for d in deletions]).select(F.col("key").alias("__key"), F.col("position").alias("__pos"))
+            gone = self.deleted_rows(deletions).select(F.col("key").alias("__key"), F.col("position").alias("__pos"))
             df = df.join(gone, ["__key", "__pos"], "left_anti")
         by_id = {f.metadata["field_id"]: f for f in stored}
         out = []
@@ -307,6 +319,10 @@ class LakeTable:
             out.append((F.col("__first") + F.col("__pos")).alias(ROW_ID))
         return df.select(*out)
 
+    def deleted_rows(self, deletions: list[dict]) -> DataFrame:
+        """(key, position) of rows that deletion vectors mark."""
+        return self.spark.read.schema("key string, position long").parquet(*[f"{self.root}/{d['path']}" for d in deletions])
+
     @staticmethod
     def _evolved(was: T.StructField, now: T.StructField) -> Column:
         c = F.col(f"`{was.name}`")
@@ -440,7 +456,8 @@ class LakeTable:
         return self.commit(self.prepare(df, columns), identifier=identifier, user=user, **commit)
 
     def _done(self, user: str, identifier: int) -> bool:
-        return identifier <= max(self.snapshots.of_user(user), default=-1)
+        last = self.snapshots.last_of_user(user)
+        return last is not None and identifier <= last
 
     def commit(
         self, changes: Changes, kind: str = APPEND, identifier: int | None = None, user: str = "", watermark: int | None = None, ignore_empty: bool = True,
@@ -464,10 +481,10 @@ class LakeTable:
 
     def _next_snapshot(self, last, changes: Changes, gone: list[Row], kind, identifier, user, watermark, properties) -> Snapshot:
         if gone and last is not None:
-            keys = {r["key"] for r in M.live(M.read(self.spark, self.root, last.base + last.delta)).select("key").collect()}
-            lost = [g["key"] for g in gone if g["key"] not in keys]
+            wanted = self.spark.createDataFrame([(g["key"],) for g in gone], "key string")
+            lost = wanted.join(M.live(M.read(self.spark, self.root, last.base + last.delta)), "key", "left_anti").limit(3).collect()
             if lost:
-                raise CommitConflict(f"files are no longer there: {lost[:3]}")
+                raise CommitConflict(f"files are no longer there: {[r['key'] for r in lost]}")
         number, next_row = (last.id + 1 if last else 1), (last.next_row_id if last else None)
         tracked = self.options.flag("row-tracking.enabled")
         next_row = (next_row or 0) if tracked else None
@@ -529,6 +546,8 @@ class LakeTable:
         """Mark matching rows of an append table in deletion vectors."""
         if self.has_keys:
             raise ValueError("delete from a table with keys by writing records of kind -D")
+        if self.options.flag("data-evolution.enabled"):
+            raise ValueError("deletion vectors do not go with data evolution")
         P.validate(predicate, self.schema.fields)
         plan = self.plan(predicate)
         if not plan.files:
@@ -537,9 +556,11 @@ class LakeTable:
         hit = self._positions(plan, where)
         name = f"index/deletions-{uuid.uuid4().hex}"
         hit.write.parquet(f"{self.root}/{name}")
-        if self.spark.read.schema("key string, position long").parquet(f"{self.root}/{name}").isEmpty():
+        by_file = self.deleted_rows([{"path": name}]).groupBy("key").count().collect()
+        if not by_file:
             return None
-        return self.commit(Changes(deletions=name, schema_id=self.schema.id), **commit)
+        mark = {"path": name, "files": [r["key"] for r in by_file], "rows": sum(r["count"] for r in by_file)}
+        return self.commit(Changes(deletions=mark, schema_id=self.schema.id), **commit)
 
     def _positions(self, plan: Plan, where: Column) -> DataFrame:
         """(key, position) of the rows of a plan's files that pass ``where``."""
@@ -554,7 +575,7 @@ class LakeTable:
             parts.append(df.select(*now, *at).filter(where).select(F.col("__key").alias("key"), F.col("__pos").alias("position")))
         found = functools.reduce(DataFrame.union, parts)
         if plan.snapshot.deletions:
-            gone = self.spark.read.parquet(*[f"{self.root}/{d}" for d in plan.snapshot.deletions])
+            gone = self.deleted_rows(plan.snapshot.deletions)
             found = found.join(gone, ["key", "position"], "left_anti")
         return found
 
