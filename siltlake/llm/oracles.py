@@ -82,7 +82,7 @@ def _nibbles() -> str:
         for _ in range(4):
             n = n >> 1 ^ 0xEDB88320 * (n & 1)
         table.append(n)
-    return f"{table}::bigint[]"
+    return f"({table}::bigint[])"
 
 
 _LOW = f"xor(a >> 4, {_nibbles()}[(xor(a, x) & 15) + 1])"
