@@ -56,6 +56,7 @@ RULES = (
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", 30),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", 90),
 )
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines", "n_stop_words", "n_repeat_words")
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -124,30 +125,28 @@ def features(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     return let(words_of(t), counted)
 
 
-def quality(
-    docs: DataFrame,
-    rules: Sequence[Rule] = RULES,
-    min_words: int = MIN_WORDS,
-    max_repeat_percent: int = MAX_REPEAT_PERCENT,
-    text_col: str = "text",
-    keep: Sequence[str] = ("doc_id",),
-) -> DataFrame:
+def judged(text: Column, rules: Sequence[Rule] = RULES, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> Column:
+    """The features and the verdict on them in one struct: one expression, so a
+    filter on a part of it does not work the text out once for each feature."""
+
+    def verdict(f: Column) -> Column:
+        cols = {n: f[n] for n in FEATURES}
+        base = (cols["n_words"] < min_words) | (100 * cols["n_repeat_words"] > max_repeat_percent * cols["n_words"])
+        failed = F.filter(F.array(*[F.when(r.failed(cols), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+        return F.struct(
+            *[c.alias(n) for n, c in cols.items()], base.alias("base_failed"), failed.alias("failed_rules"), (~base & (F.size(failed) == 0)).alias("kept")
+        )
+
+    return let(features(text), verdict)
+
+
+def quality(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), **how) -> DataFrame:
     """``keep`` columns, every feature, ``base_failed``, ``failed_rules`` (names
     of the rules that reject, empty if none) and ``kept``."""
-    f = docs.select(*[F.col(c) for c in keep], features(F.col(text_col)).alias("__f"))
-    cols = {n: F.col("__f")[n] for n in f.schema["__f"].dataType.fieldNames()}
-    base = (cols["n_words"] < min_words) | (100 * cols["n_repeat_words"] > max_repeat_percent * cols["n_words"])
-    failed = F.filter(F.array(*[F.when(r.failed(cols), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-    return f.select(
-        *[F.col(c) for c in keep],
-        *[c.alias(n) for n, c in cols.items()],
-        base.alias("base_failed"),
-        failed.alias("failed_rules"),
-        (~base & (F.size(failed) == 0)).alias("kept"),
-    )
+    got = docs.select(*[F.col(c) for c in keep], judged(F.col(text_col), **how).alias("__f"))
+    return got.select(*[F.col(c) for c in keep], *[F.col(f"__f.{n}").alias(n) for n in (*FEATURES, "base_failed", "failed_rules", "kept")])
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were."""
-    got = quality(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), text_col=text_col, keep=("__row",), **how)
-    return got.filter("kept").select("__row.*")
+    return docs.filter(judged(F.col(f"`{text_col}`"), **how)["kept"])
