@@ -622,6 +622,14 @@ def vector_topk_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topk(spark, sf_dir, F.col("label") == 1)
 
 
+@query("analyze_statistics", "select count(*) as n, min(o_custkey)::varchar as low, max(o_custkey)::varchar as high, count(*) - count(o_orderpriority) as nulls from orders")
+def analyze_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table_of(source(spark, sf_dir, "orders")).analyze(["o_custkey", "o_orderpriority"]).statistics
+    key = s["columns"]["o_custkey"]
+    row = (s["rows"], key["min"], key["max"], s["columns"]["o_orderpriority"]["nulls"])
+    return spark.createDataFrame([row], "n long, low string, high string, nulls long")
+
+
 # ---- maintenance, branches, catalog
 
 

@@ -28,6 +28,7 @@ class Snapshot:
     next_row_id: int | None = None
     next_sequence: int = 0
     properties: dict[str, str] = field(default_factory=dict)
+    statistics: dict | None = None
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=1)

@@ -26,7 +26,7 @@ from ..operators.merge import DELETE, KIND, ROW_ID, SEQ, MergeSpec, merge
 from . import manifest as M
 from .fs import Files
 from .schema import Schemas, TableSchema
-from .snapshot import APPEND, COMPACT, OVERWRITE, Snapshot, Snapshots
+from .snapshot import ANALYZE, APPEND, COMPACT, OVERWRITE, Snapshot, Snapshots
 
 FORMATS = ("parquet", "orc", "avro")
 POSTPONE, UNAWARE = -2, -1
@@ -47,6 +47,7 @@ class Changes:
     deletions: dict | None = None
     indexes: list[dict] | None = None
     schema_id: int = 0
+    statistics: dict | None = None
 
 
 @dataclass
@@ -63,7 +64,7 @@ class Plan:
 
 
 class LakeTable:
-    def __init__(self, spark: SparkSession, path: str, branch: str = "main", options: dict | None = None):
+    def __init__(self, spark: SparkSession, path: str, branch: str = "main", options: dict | None = None, schema_json: str | None = None):
         self.spark, self.fs = spark, Files(spark)
         self.path, self.branch = path.rstrip("/"), branch
         self.root = self.path if branch in ("", "main") else f"{self.path}/branch/branch-{branch}"
@@ -71,7 +72,8 @@ class LakeTable:
         latest = self.schemas.latest()
         if latest is None:
             raise ValueError(f"no table at {path}" + (f", branch {branch}" if branch != "main" else ""))
-        self.schema, self.extra = latest, options or {}
+        # a given schema is read with instead of the latest
+        self.schema, self.extra = TableSchema.from_json(schema_json) if schema_json else latest, options or {}
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, fields: T.StructType, partition_keys=(), primary_keys=(), options=None, comment: str = "") -> LakeTable:
@@ -465,14 +467,15 @@ class LakeTable:
     ) -> Snapshot | None:
         """Publish a snapshot; on a race, check for conflicts and try again.
         ``replace`` names the files to delete from the snapshot built upon."""
-        if ignore_empty and not (changes.added or changes.deleted or changes.deletions or changes.indexes is not None or replace):
+        if ignore_empty and not (changes.added or changes.deleted or changes.deletions or changes.indexes is not None or changes.statistics or replace):
             return None
         if identifier is not None and self._done(user, identifier):
             return None
-        for _ in range(self.options.number("commit.max-retries") + 1):
+        for attempt in range(1, self.options.number("commit.max-retries") + 2):
             last = self.snapshots.latest()
             gone = changes.deleted if replace is None else replace(last)
             made = self._next_snapshot(last, changes, gone, kind, identifier, user, watermark, properties)
+            made.properties |= {"commit.attempts": str(attempt), "commit.added-files": str(len(changes.added)), "commit.deleted-files": str(len(gone))}
             if self.snapshots.publish(made):
                 return made
             for m in made.delta:
@@ -511,7 +514,9 @@ class LakeTable:
             millis=int(time.time() * 1000), total_rows=(last.total_rows if last else 0) + grown, delta_rows=grown,
             deletions=[*(last.deletions if last else []), *([changes.deletions] if changes.deletions else [])],
             indexes=changes.indexes if changes.indexes is not None else last.indexes if last else [],
-            watermark=max(marks) if marks else None, next_row_id=next_row, next_sequence=top, properties=properties or {},
+            watermark=max(marks) if marks else None, next_row_id=next_row, next_sequence=top, properties=dict(properties or {}),
+            # statistics hold until rows change
+            statistics=changes.statistics or (last.statistics if last and not entries and not changes.deletions else None),
         )
 
     def compact_manifests(self, names: list[str]) -> str:
@@ -593,6 +598,19 @@ class LakeTable:
         changes.deleted = plan.files
         return self.commit(changes, kind=COMPACT, **commit)
 
+    def analyze(self, columns: list[str] | None = None, **commit: Any) -> Snapshot | None:
+        """Commit statistics of the rows of now: their number and, by column,
+        distinct values (approximate), nulls, least and greatest (as text)."""
+        names = columns or [f.name for f in self.schema.fields.fields if not is_nested(f.dataType)]
+        df = self.read(names)
+        aggs = [F.count("*").alias("n")]
+        for i, n in enumerate(names):
+            c = F.col(f"`{n}`")
+            aggs += [F.approx_count_distinct(c).alias(f"d{i}"), F.count_if(c.isNull()).alias(f"z{i}"), F.min(c).cast("string").alias(f"l{i}"), F.max(c).cast("string").alias(f"h{i}")]
+        r = df.agg(*aggs).first()
+        found = {n: {"distinct": r[f"d{i}"], "nulls": r[f"z{i}"], "min": r[f"l{i}"], "max": r[f"h{i}"]} for i, n in enumerate(names)}
+        return self.commit(Changes(schema_id=self.schema.id, statistics={"rows": r["n"], "columns": found}), kind=ANALYZE, **commit)
+
     # ---- listing
 
     def partitions(self, **scan: Any) -> DataFrame:

@@ -128,6 +128,16 @@ def test_schema_evolution(spark, tmp_path, rows):
     assert ks(LakeTable(spark, t.path).read(version=1)) == list(range(30))
 
 
+def test_statistics_and_given_schemas(spark, tmp_path, rows):
+    t = make(spark, tmp_path / "t", rows, [rows])
+    made = t.analyze()
+    assert made.kind == "ANALYZE" and made.statistics["columns"]["k"] == {"distinct": made.statistics["columns"]["k"]["distinct"], "nulls": 0, "min": "0", "max": "29"}
+    assert t.write(rows).statistics is None and t.snapshots.latest().properties["commit.attempts"] == "1"
+    old = t.schema.to_json()
+    t.alter(lambda s: s.rename_column("v", "w"))
+    assert LakeTable(spark, t.path, schema_json=old).read().columns == ["k", "p", "v"]
+
+
 def test_wrong_schemas():
     f = T.StructType().add("k", "integer").add("v", "string").add("a", T.ArrayType(T.IntegerType()))
     for how in (
