@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import small_batches
 from .codepoints import CodePoints, blocks
@@ -185,7 +186,8 @@ def toxicity(docs: DataFrame, model: Model, folds: int = FOLDS, keep: tuple[str,
     """``keep`` columns, held_out, score and predicted (1 if score >= 0.5)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], fold(F.col("doc_id"), folds).alias("__fold"), F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    kinds = {"held_out": T.BooleanType(), "score": T.DoubleType(), "predicted": T.IntegerType()}
+    schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in keep], *[T.StructField(n, k) for n, k in kinds.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cps = CodePoints()
@@ -194,10 +196,11 @@ def toxicity(docs: DataFrame, model: Model, folds: int = FOLDS, keep: tuple[str,
             out = [pa.array(b.column("__fold").to_numpy() == 0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], names=[*keep, "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"{schema}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(run, schema)
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that a model trained on them and ``labels`` accepts."""
-    marked = toxicity(docs, train(docs, labels, **how), keep=tuple(docs.columns))
-    return marked.filter("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # whole rows in one column, as any name may be among theirs
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text")
+    return toxicity(rows, train(docs, labels, **how), keep=("__row",)).filter("predicted = 0").select("__row.*")

@@ -1,7 +1,7 @@
 import public_tokenizers
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept boolean"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept boolean, score string, predicted int, rate int, fp long, target string"
 A = "the quick brown fox jumps over the lazy dog and runs to the river of the old town with it"
 LONG = " ".join(f"word{i % 977} is in the long text of number {i}" for i in range(20000))
 
@@ -33,7 +33,7 @@ def rows():
 
 @pytest.fixture(scope="session")
 def docs(spark):
-    return spark.createDataFrame(ROWS, SCHEMA)
+    return spark.createDataFrame([(*r, "s", 1, 2, 3, "t") for r in ROWS], SCHEMA)
 
 
 @pytest.fixture(scope="session")
