@@ -13,12 +13,12 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 
 #: Code points handled at a time; bounds the working arrays.
 BLOCK = 1 << 20
 #: Pretokens remembered by a worker before it starts afresh.
 MAX_KNOWN = 1_000_000
+TABLE_BITS = 22
 #: Pretokens past this many code points are looked up by their text.
 LONG = 48
 _LETTER, _NUMBER, _OTHER, _SPACE, _NEW = 0, 1, 2, 3, 255
@@ -43,6 +43,41 @@ def _mixed(cp: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class KeyTable:
+    """Numbers of 64-bit keys, by open addressing over arrays: many keys at once."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(_MULTIPLIER)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 if it has none. No key is 0."""
+        out, slot, open_ = np.full(len(keys), -1, np.int64), self._slots(keys), np.arange(len(keys))
+        while len(open_):
+            at = slot[open_]
+            held = self.keys[at]
+            same = held == keys[open_]
+            out[open_[same]] = self.values[at[same]]
+            open_ = open_[~same & (held != 0)]
+            slot[open_] = (slot[open_] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, first: int) -> None:
+        """Number new and distinct keys from ``first`` on."""
+        slot, open_ = self._slots(keys), np.arange(len(keys))
+        while len(open_):
+            free = open_[self.keys[slot[open_]] == 0]
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], first + put
+            open_ = np.setdiff1d(open_, put, assume_unique=True)
+            slot[open_] = (slot[open_] + 1) & self.mask
+
+
 class Encoder:
     """Encodes texts exactly as ``Tokenizer.encode(add_special_tokens=False)``."""
 
@@ -63,7 +98,7 @@ class Encoder:
         self._bytes: list[bytes] | None = None
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place = KeyTable(TABLE_BITS)
         self.offset = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
@@ -123,24 +158,20 @@ class Encoder:
 
     def _lookup(self, keys: np.ndarray, begin: np.ndarray, end: np.ndarray, text: str) -> np.ndarray:
         """Index into offset and length for each pretoken."""
-        codes, distinct = pd.factorize(keys)
-        known = self.place
-        got = [known.get(k, -1) for k in distinct.tolist()]
-        missing = [i for i, g in enumerate(got) if g < 0]
-        if missing:
-            where = np.empty(len(distinct), np.int64)
-            where[codes[::-1]] = np.arange(len(codes))[::-1]
-            sample = where[missing]
+        keys = np.maximum(keys, np.uint64(1))
+        got = self.place.find(keys)
+        if len(missing := np.flatnonzero(got < 0)):
+            new, sample, which = np.unique(keys[missing], return_index=True, return_inverse=True)
+            sample = missing[sample]
             ids = self._ids_of([text[a:b] for a, b in zip(begin[sample].tolist(), end[sample].tolist(), strict=True)])
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            base = len(self.length)
-            for j, i in enumerate(missing):
-                got[i] = known[int(distinct[i])] = base + j
+            self.place.add(new, len(self.length))
+            got[missing] = len(self.length) + which
             flat = np.fromiter((x for y in ids for x in y), np.uint32, int(lengths.sum()))
             self.offset = np.concatenate([self.offset, len(self.pool) + np.cumsum(lengths) - lengths])
             self.length = np.concatenate([self.length, lengths])
             self.pool = np.concatenate([self.pool, flat])
-        return np.array(got, np.int64)[codes]
+        return got
 
     def _block(self, texts: Sequence[str], parts: bool = False) -> tuple:
         """Ids of all texts, and each text's number of ids. At most BLOCK code
@@ -161,7 +192,7 @@ class Encoder:
             keys = (total[end] - total[begin]) * self.down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for i in np.flatnonzero(end - begin > LONG).tolist():
             keys[i] = hash(("long", text[begin[i] : end[i]])) & 0xFFFFFFFFFFFFFFFF
-        if len(self.place) > MAX_KNOWN:
+        if len(self.length) > MAX_KNOWN:
             self._forget()
         at = self._lookup(keys, begin, end, text)
         lengths = self.length[at]

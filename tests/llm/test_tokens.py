@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from siltlake.llm import bpe, rans, tokenfile
-from siltlake.llm.pretokens import Encoder
+from siltlake.llm.pretokens import Encoder, KeyTable
 
 ALPHABET = "ab  \n\t'sStredvelm1 2²½,.!'’ñßé\u00a0\u2003你好😀\u0301"
 
@@ -26,6 +26,14 @@ def fuzz():
     return [*texts, "", "a<|endoftext|>b", "'s", "it's", "'save 'll're", "  '  's", "x" * 5000, " " * 4000, "'s" * 900, " \n a", "a \n"]
 
 
+def test_key_table():
+    rng = np.random.default_rng(3)
+    keys, table = rng.integers(1, 2**63, 30).astype(np.uint64), KeyTable(5)
+    table.add(keys[:10], 0)
+    table.add(keys[10:20], 10)
+    assert table.find(keys).tolist() == [*range(20), *[-1] * 10]
+
+
 def test_pretokens_agree(vocabulary, library, fuzz):
     enc = Encoder(vocabulary)
     want = [e.ids for e in library.encode_batch(fuzz, add_special_tokens=False)]
