@@ -248,7 +248,7 @@ class LakeTable:
         return [*self.schema.fields.names, SEQ, KIND, *([ROW_ID] if self.options.flag("row-tracking.enabled") else [])]
 
     def _sections(self, files: list[Row]) -> tuple[list[Row], list[Row]]:
-        """Files whose keys no other file of the bucket can hold, and the rest.
+        """Files whose keys no other write to the bucket can hold, and the rest.
         Intervals are over the first key column that is no partition key."""
         lead = self.schema.trimmed_keys[0]
         kind = self.schema.fields[lead].dataType
@@ -275,7 +275,8 @@ class LakeTable:
 
     @staticmethod
     def _close(section: list[Row], raw: list[Row], mixed: list[Row]) -> None:
-        alone = len(section) == 1 and section[0]["unique_keys"] and section[0]["delete_count"] == 0
+        # files of one write whose keys are unique hold no key twice between them
+        alone = all(f["unique_keys"] and f["delete_count"] == 0 for f in section) and len({f["snapshot_id"] for f in section}) <= 1
         (raw if alone else mixed).extend(section)
 
     def scan_files(self, files: list[Row], deletions: list[dict] = ()) -> DataFrame:
@@ -342,11 +343,13 @@ class LakeTable:
             return F.lit(0)
         return F.pmod(F.hash(*[F.col(f"`{k}`") for k in keys or self.schema.bucket_keys()]), F.lit(n))
 
-    def prepare(self, df: DataFrame, columns: list[str] | None = None, level: int = 0, external: str | None = None) -> Changes:
+    def prepare(self, df: DataFrame, columns: list[str] | None = None, level: int = 0, external: str | None = None, unique: bool = False) -> Changes:
         """Write the rows of ``df`` to data files; nothing is visible yet.
 
         ``df`` may carry ``_VALUE_KIND`` and ``_SEQUENCE_NUMBER``. ``columns``
-        writes a part of the columns, for data evolution.
+        writes a part of the columns, for data evolution. ``unique`` vouches that
+        no key is in ``df`` twice: files alone in their key range then need no
+        merge. It is not worked out here, which would shuffle every key.
         """
         schema = self.schema
         names = columns or schema.fields.names
@@ -376,9 +379,10 @@ class LakeTable:
         if bucketed:
             df = df.withColumn("bucket.id", self.bucket_column())
             where.append("bucket.id")
-            n = max(1, self.options.number("bucket"))
-            # one task per bucket of a partition and salt: files of a bucket stay few, a large one is split
-            df = df.repartition(*[F.col(f"`{w}`") for w in where], F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in schema.bucket_keys()] or [F.lit(0)]), F.lit(max(1, 8 // n))))
+            # a large or hot bucket is split over tasks by a salt of its keys; small shares are put together again by AQE
+            salts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // max(1, self.options.number("bucket")))
+            keys = [F.col(f"`{k}`") for k in schema.bucket_keys()] or [F.lit(0)]
+            df = df.repartition(*[F.col(f"`{w}`") for w in where], F.pmod(F.xxhash64(*keys), F.lit(salts)))
         if self.has_keys and self.options.number("bucket") != POSTPONE:
             df = df.sortWithinPartitions(*[F.col(f"`{c}`") for c in (*where, *schema.primary_keys)], SEQ)
         fmt = self.options.text("file.format")
@@ -386,7 +390,7 @@ class LakeTable:
             raise ValueError(f"unknown file format {fmt!r}")
         writer = df.write.format(fmt).option("compression", self.options.text("file.compression"))
         (writer.partitionBy(*where) if where else writer).save(folder)
-        return Changes(added=self._describe(folder, fmt, names if columns else None, level), schema_id=schema.id)
+        return Changes(added=self._describe(folder, fmt, names if columns else None, level, unique), schema_id=schema.id)
 
     def _data_root(self) -> str:
         outside = self.options.names("data-file.external-paths")
@@ -395,7 +399,7 @@ class LakeTable:
             return f"{outside[(self.snapshots.latest_id() or 0) % len(outside)].rstrip('/')}/{self.path.rsplit('/', 1)[-1]}/data"
         return f"{self.path}/data"
 
-    def _describe(self, folder: str, fmt: str, write_cols: list[str] | None, level: int) -> list[dict[str, Any]]:
+    def _describe(self, folder: str, fmt: str, write_cols: list[str] | None, level: int, unique: bool = False) -> list[dict[str, Any]]:
         """Entries for the files in a folder, with counts and bounds from one
         aggregation by file (partial sums at the scan)."""
         files = [i for i in self.fs.walk(folder) if not i.name.startswith(("_", "."))]
@@ -416,10 +420,7 @@ class LakeTable:
             aggs += [F.count_if(c.isNull()).alias(f"z{i}")]
             if mode != "counts" or f.name in lead:
                 aggs += [F.when(~F.coalesce(nan, F.lit(False)), F.min(c)).cast("string").alias(f"l{i}"), F.when(~F.coalesce(nan, F.lit(False)), F.max(c)).cast("string").alias(f"h{i}")]
-        if self.has_keys:
-            aggs.append((F.count("*") == F.approx_count_distinct(F.xxhash64(*[F.col(f"`{k}`") for k in self.schema.primary_keys]))).alias("maybe"))
         rows = df.groupBy(F.col("_metadata.file_path").alias("at")).agg(*aggs).collect()
-        unique = self._unique(df) if self.has_keys else {}
         out = []
         for r in rows:
             key = key_text(unquote(r["at"])) if key_text(r["at"]) not in sizes else key_text(r["at"])
@@ -428,20 +429,12 @@ class LakeTable:
             out.append({
                 "kind": M.ADD, "key": key_text(r["at"]), "path": unquote(r["at"]), "format": fmt, "partition": self._partition_of(r["at"]), "bucket": int(m[1]) if m else 0,
                 "total_buckets": self.options.number("bucket"), "level": level, "schema_id": self.schema.id, "row_count": r["n"], "size": sizes.get(key, 0),
-                "min_sequence": r["s0"], "max_sequence": r["s1"], "write_cols": write_cols, "delete_count": r["dels"], "unique_keys": unique.get(r["at"]),
+                "min_sequence": r["s0"], "max_sequence": r["s1"], "write_cols": write_cols, "delete_count": r["dels"], "unique_keys": unique,
                 "low": bound("l"), "high": bound("h"), "nulls": {f.name: r[f"z{i}"] for i, f in enumerate(kept)},
                 "blob": any(f.metadata.get("blob") for f in stored),
             })
         return sorted(out, key=lambda e: e["key"])
 
-    def _unique(self, df: DataFrame) -> dict[str, bool]:
-        """Whether a file's keys differ: neighbours in the sorted file, so equal
-        keys show as fewer distinct keys than rows, exactly counted."""
-        keys = [F.col(f"`{k}`") for k in self.schema.primary_keys]
-        at = F.col("_metadata.file_path").alias("at")
-        got = df.select(at, *keys).groupBy("at", *self.schema.primary_keys).count().groupBy("at").agg(F.max("count").alias("most"))
-        return {r["at"]: r["most"] == 1 for r in got.collect()}
-
     def _partition_of(self, at: str) -> dict[str, str | None]:
         default, out = self.options.text("partition.default-name"), {}
         for k in self.schema.partition_keys:
@@ -450,12 +443,14 @@ class LakeTable:
             out[k] = None if value in (None, default, "__HIVE_DEFAULT_PARTITION__") else value
         return out
 
-    def write(self, df: DataFrame, identifier: int | None = None, user: str = "", columns: list[str] | None = None, **commit: Any) -> Snapshot | None:
-        """Write and commit. With an ``identifier`` the write of a (user,
+    def write(
+        self, df: DataFrame, identifier: int | None = None, user: str = "", columns: list[str] | None = None, unique: bool = False, **commit: Any
+    ) -> Snapshot | None:
+        """Write and commit (``columns``, ``unique``: see ``prepare``). With an ``identifier`` the write of a (user,
         identifier) that is already there does nothing."""
         if identifier is not None and self._done(user, identifier):
             return None
-        return self.commit(self.prepare(df, columns), identifier=identifier, user=user, **commit)
+        return self.commit(self.prepare(df, columns, unique=unique), identifier=identifier, user=user, **commit)
 
     def _done(self, user: str, identifier: int) -> bool:
         last = self.snapshots.last_of_user(user)
@@ -594,7 +589,7 @@ class LakeTable:
         if self.options.flag("row-tracking.enabled"):
             raise ValueError("compaction would renumber rows under row tracking")
         df = df if self.has_keys else df.select(*self.schema.fields.names)
-        changes = self.prepare(df, level=5)
+        changes = self.prepare(df, level=5, unique=self.has_keys)
         changes.deleted = plan.files
         return self.commit(changes, kind=COMPACT, **commit)
 

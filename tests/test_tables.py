@@ -111,6 +111,13 @@ def test_keys_merge_compact_and_skip(spark, tmp_path, rows):
     assert {r.k: r.v for r in t.read().collect()} == want | {1: "again"}
 
 
+def test_vouched_keys_skip_the_merge(spark, tmp_path, rows):
+    t = make(spark, tmp_path / "t", rows, primary_keys=["k"], options={"bucket": 1})
+    t.write(rows.coalesce(1), unique=True)
+    raw, mixed = t._sections(t.plan().files)
+    assert ks(t.read()) == list(range(30)) and raw and not mixed
+
+
 def test_merge_options_in_tables(spark, tmp_path, rows):
     df = rows.select("k", F.lit(2).alias("x"))
     t = make(spark, tmp_path / "t", df, [df, df], primary_keys=["k"], options={"bucket": 1, "merge-engine": "aggregation", "fields.x.aggregate-function": "sum"})
