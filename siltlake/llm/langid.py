@@ -107,8 +107,10 @@ def sample_grams(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, held
     gram, n): in how many rows of a bounded sample of each language."""
     known = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", F.col("lang").cast("string").alias("lang"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.md5(id_text(F.col("doc_id"))), "doc_id")
-    chosen = known.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= sample).select("doc_id", "lang").dropDuplicates(["doc_id"])
+    # the first by hash of each language: of each part of it, then of these, so no task gets a whole language
+    marked = known.select("doc_id", "lang", F.md5(id_text(F.col("doc_id"))).alias("hash")).withColumn("part", F.substring("hash", 31, 2))
+    first = lambda df, *by: df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("hash", "doc_id"))).filter(F.col("__n") <= sample)
+    chosen = first(first(marked, "lang", "part"), "lang").select("doc_id", "lang").dropDuplicates(["doc_id"])
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
