@@ -222,7 +222,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id")
     """One document of each group: the one with the smallest id."""
     got = near_duplicates(docs, distance, id_col)
     kept = staged(got.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count(), "kept")
-    k = kept.select(F.col("doc_id").alias("__kept"))
+    # ids are hashed per partition and whole rows stream by unsorted, at any size
+    k = kept.select(F.col("doc_id").alias("__kept")).hint("shuffle_hash")
     out = docs.join(k, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
     # an id that stands on several rows keeps one of them
     return out if kept.filter("count > 1").isEmpty() else out.dropDuplicates([id_col])
