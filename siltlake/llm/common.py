@@ -69,3 +69,25 @@ def hash_unit(key: Column, seed: str) -> Column:
 def id_text(col: Column) -> Column:
     """A key column as text, null as the empty string."""
     return F.coalesce(col.cast("string"), F.lit(""))
+
+
+def text_digest(text_col: str) -> Column:
+    """md5 of a text, null as the empty string."""
+    return F.coalesce(F.md5(F.col(text_col).cast("string").cast("binary")), F.lit(""))
+
+
+def keep_least(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component: one with its smallest id, no id last. ``groups``
+    has doc_id, digest (of the text) and component for every row; rows that agree
+    in id and digest are of one component."""
+    names = staged(groups.groupBy("component", "doc_id", "digest").count(), "names")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest", "count"))
+    kept = staged(names.groupBy("component").agg(least.alias("k")).select("k.id", "k.digest", "k.count"), "kept")
+    # names are hashed per partition and whole rows stream by unsorted, at any size
+    k = kept.select(F.col("id").alias("__id"), F.col("digest").alias("__kept")).hint("shuffle_hash")
+    out = docs.withColumn("__digest", text_digest(text_col))
+    out = out.join(k, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
+    # a name that stands on several rows keeps one of them
+    if not kept.filter("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "__digest"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
