@@ -27,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
-from .common import staged
+from .common import keep_least, staged, text_digest
 from .components import components
 
 BITS, SHINGLE, SEED, DISTANCE, SEGMENTS = 64, 3, 42, 2, 5
@@ -64,18 +64,19 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """doc_id, the columns ``more`` and fp (the fingerprint's bits as a signed long)."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), *more, F.col(text_col).cast("string").alias("text"))
+    fields = rows.columns[:-1]
+    kinds = "".join(f"{f} {rows.schema[f].dataType.simpleString()}, " for f in fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text", 16_000_000):
             texts = b.column("text").cast(pa.binary()).to_pylist()
             found = np.array([fingerprint(shingle_hashes(t or b"")) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, fields), pa.array(found, pa.int64())], names=[*fields, "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(run, f"{kinds}fp long")
 
 
 def segments(m: int = SEGMENTS, bits: int = BITS) -> list[tuple[int, int]]:
@@ -204,26 +205,28 @@ def link_edges(buckets: DataFrame, distance: int = DISTANCE, m: int = SEGMENTS)
     return placed.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id
-    reachable over links."""
-    rows = staged(fingerprints(docs, id_col, text_col), "fingerprints")
+def groups(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """doc_id, the columns ``more``, fp, component (the smallest fp reachable over
+    links) and component_id (the smallest id reachable) of every row."""
+    rows = staged(fingerprints(docs, id_col, text_col, *more), "fingerprints")
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     edges = link_edges(bucket_rows(fps.select("fp"), distance), distance)
     found = components(edges)
-    named = fps.join(found, fps["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    named = fps.join(found, fps["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("component"), "least")
     named = staged(named, "named")
-    label = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = staged(named.select("fp", "root").join(label, "root").select("fp", "component_id"), "labels")
-    return rows.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id") -> DataFrame:
-    """One document of each group: the one with the smallest id."""
-    got = near_duplicates(docs, distance, id_col)
-    kept = staged(got.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count(), "kept")
-    # ids are hashed per partition and whole rows stream by unsorted, at any size
-    k = kept.select(F.col("doc_id").alias("__kept")).hint("shuffle_hash")
-    out = docs.join(k, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
-    # an id that stands on several rows keeps one of them
-    return out if kept.filter("count > 1").isEmpty() else out.dropDuplicates([id_col])
+    label = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    label = staged(named.select("fp", "component").join(label, "component").select("fp", "component", "component_id"), "labels")
+    return rows.join(label, "fp")
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id
+    reachable over links."""
+    got = groups(docs, distance, id_col, text_col)
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group: the one with the smallest id, no id last."""
+    got = groups(docs, distance, id_col, text_col, text_digest(text_col).alias("digest"))
+    return keep_least(docs, got.select("doc_id", "digest", "component"), id_col, text_col)
