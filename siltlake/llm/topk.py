@@ -11,8 +11,8 @@ from the sample. A pair of blocks is visited unless the bound over its centres,
 is below the worst of these kth scores of the query group. Inside a pair both
 sides get cover trees of their own, and node pairs are pruned the same way
 against each query node's worst kth score so far. All comparisons keep ties, so
-the result is exact; equal vectors of a block are held once, with the smallest
-ids that can matter.
+the result is exact; of equal vectors of a block only the
+smallest ids that can matter are held, repeated rows of an id at most k times.
 
 Defined results: vectors that are null or hold null or non-finite components take
 no part; missing components of a shorter vector count as 0; equal scores go to
@@ -119,13 +119,18 @@ class DualSearch:
         width = max(q.shape[1], x.shape[1])
         pad = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
         self.k, self.q_ids, self.q = k, q_ids, pad(q)
-        # equal candidates: the k + 1 smallest ids are all that can be returned
+        # equal candidates: the k + 1 smallest ids, with k rows each, are all that can be returned
         order = np.lexsort((x_ids, *pad(x).T))
         ids, x = x_ids[order], pad(x)[order]
         new = np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)]) if len(x) else np.zeros(0, bool)
         begin = np.flatnonzero(new)
-        rank = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
-        self.x_ids, self.x = ids[rank <= k], x[rank <= k]
+        runs = np.diff(np.append(begin, len(x)))
+        fresh = new | np.append(len(x) > 0, ids[1:] != ids[:-1])[: len(x)]
+        number = np.cumsum(fresh)
+        rank = number - np.repeat(number[begin], runs)
+        again = np.arange(len(x)) - np.flatnonzero(fresh)[number - 1]
+        on = (rank <= k) & (again < k)
+        self.x_ids, self.x = ids[on], x[on]
         self.best = np.full((len(q_ids), k), np.iinfo(np.int64).min, np.int64)
         self.best_ids = np.full((len(q_ids), k), np.iinfo(np.int64).max, np.int64)
         self.floor = np.asarray(q_floor, np.float64)
