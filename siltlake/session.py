@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -15,3 +16,16 @@ def ensure_importable(spark: SparkSession) -> SparkSession:
     if here not in known.split(":"):
         env["PYTHONPATH"] = f"{here}:{known}" if known else here
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where
+    the session names none, a local master gets a temporary one; a cluster must
+    name its own, as executors do not see the driver's folders."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="siltlake-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
