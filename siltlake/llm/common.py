@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_importable
+from ..session import ensure_importable, shared_dir
+from ..sources.fs import Files
 
 #: The white space of every word rule here: space and U+0009 to U+000D.
 SPACE_CLASS = r"[ \t-\r]+"
@@ -19,23 +20,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a
-    temporary one only where the session names none, as in local tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="siltlake-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+#: Lets Spark drop the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, so what
-    follows neither recomputes it nor depends on a lost executor."""
+    follows neither recomputes it nor depends on a lost executor. ``release``
+    deletes it when nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _tidy_shuffles(spark):
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.staged_at = path
+    return made
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for t in tables:
+        Files(t.sparkSession).delete(t.staged_at)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -83,6 +98,7 @@ def keep_least(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_
     names = staged(groups.groupBy("component", "doc_id", "digest").count(), "names")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest", "count"))
     kept = staged(names.groupBy("component").agg(least.alias("k")).select("k.id", "k.digest", "k.count"), "kept")
+    release(names)
     # names are hashed per partition and whole rows stream by unsorted, at any size
     k = kept.select(F.col("id").alias("__id"), F.col("digest").alias("__kept")).hint("shuffle_hash")
     out = docs.withColumn("__digest", text_digest(text_col))

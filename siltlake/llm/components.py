@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,16 +31,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _tidy(edges: DataFrame) -> DataFrame:
-    return edges.filter("a <> b").distinct()
+    return edges.select("a", "b").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """node and root (the smallest node reachable) of every node that has an
-    edge; ``edges`` holds whole numbers a and b."""
+    edge; ``edges`` holds whole numbers a and b.
+
+    Defined results: a null end makes no edge; loops and repeated edges change
+    nothing; no edges give an empty table; other columns are not read."""
     now = staged(_tidy(edges), "edges")
     mark = None
     for _ in range(rounds):
-        now = staged(_tidy(_small_star(_tidy(_large_star(now)))), "edges")
+        old, now = now, staged(_tidy(_small_star(_tidy(_large_star(now)))), "edges")
+        release(old)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if new == mark:
             break
