@@ -6,14 +6,18 @@ are paired with the same sentence naming another, and changes of the score
 between the two are penalised, so that a neutral mention of a group does not
 count against a text. Scores come from whole texts.
 
-Defined results: a null or empty text gets the score of no features; rows whose
-id has no label are scored too; null labels are not learned from; without
-examples of both labels every score is 0; repeated rows get the same score; an
-empty table gives an empty table.
+Defined results: a null or empty text gets the score of no features; a very long
+one is read whole, and a feature counts once however often it stands there; rows
+whose id has no label are scored too; null labels, and ids that have both, are not
+learned from; of several texts under one id the least is; ties in the choice of
+features go to the smaller key; without examples of both labels every score is 0;
+repeated rows get the same score; an empty table gives an empty table; columns
+besides those named are not read, and may have any names.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,7 +30,7 @@ from pyspark.sql import types as T
 
 from .bpe import small_batches
 from .codepoints import CodePoints, blocks
-from .common import id_text
+from .common import id_text, staged
 
 #: Groups of terms that may stand for each other (fixed values).
 IDENTITY_TERMS = (
@@ -40,6 +44,8 @@ SAMPLE = 3000
 PREFIXES = (4, 5, 6)
 #: Features of the model, at most, and rows of the sample that each must be in.
 FEATURES, SUPPORT = 4096, 4
+#: Different swaps that the penalty is taken over, at most: the most frequent.
+SWAPS = 20_000
 FOLDS = 5
 
 
@@ -99,66 +105,94 @@ def sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s]
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, groups=IDENTITY_TERMS) -> DataFrame:
-    """kind, label and feature keys of a bounded sample of labelled rows outside
-    the held-out fold: whole texts ("doc"), and pairs of sentences that name a
-    group ("was", "now": the same with the terms swapped)."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), folds) != 0))
-    order = (F.md5(id_text(F.col("doc_id"))), F.col("doc_id"))
-    picked = [known.filter(F.col("toxic") == y).orderBy(*order).limit(sample) for y in (0, 1)]
-    chosen = F.broadcast(picked[0].union(picked[1]).dropDuplicates(["doc_id"]))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text")
+def sample_features(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, groups=IDENTITY_TERMS, features: int = FEATURES, support: int = SUPPORT,
+    swaps: int = SWAPS, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """What a model is fitted on, bounded whatever the sampled texts hold.
+
+    ``doc`` rows: label and keys of each sampled text, of the ``features`` keys that
+    tell the labels apart best and of those that swaps change. ``swap`` rows: keys
+    that swapping the terms of a sentence takes away and adds (``other``), and in how
+    many sentences (``n``), the most frequent ``swaps``. Keys are counted in Spark.
+    """
+    known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), folds) != 0))
+    # an id with both labels teaches nothing
+    known = known.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most")
+    order = (F.md5(id_text(F.col("id"))), F.col("id"))
+    chosen = functools.reduce(DataFrame.union, [known.filter(F.col("toxic") == y).orderBy(*order).limit(sample) for y in (0, 1)]).select("id", "toxic")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cps = CodePoints()
-        keys_of = lambda t: [k for k in np.unique(cps.words(t, PREFIXES)[1]).view(np.int64).tolist() if k]
+        keys_of = lambda t: (k := np.unique(cps.words(t, PREFIXES)[1]))[k != 0].view(np.int64)
         for b in small_batches(batches, "text"):
-            out: list[tuple[str, int, list[int]]] = []
+            out: list[tuple] = []
             for y, t in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
-                out.append(("doc", y, keys_of(t or "")))
-                for s in sentences(t or ""):
-                    if (other := swap_terms(s, groups)) is not None:
-                        out += [("was", y, keys_of(s)), ("now", y, keys_of(other))]
-            kind, label, keys = zip(*out, strict=True)
-            arrays = [pa.array(kind, pa.string()), pa.array(label, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["kind", "label", "keys"])
+                out.append(("doc", y, keys_of(t), []))
+                for s in sentences(t):
+                    if (turned := swap_terms(s, groups)) is not None:
+                        was, now = keys_of(s), keys_of(turned)
+                        out.append(("swap", y, np.setdiff1d(was, now), np.setdiff1d(now, was)))
+            kind, label, keys, other = zip(*out, strict=True)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, other)]
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(label, pa.int32()), *lists], names=["kind", "label", "keys", "other"])
+
+    found = staged(rows.mapInArrow(run, "kind string, label int, keys array<long>, other array<long>"), "sample-features")
+    whole, turned = found.filter("kind = 'doc'"), found.filter("kind = 'swap'")
+    have = {r["label"]: r["count"] for r in whole.groupBy("label").count().collect()}
+    n1, n0 = have.get(1, 0), have.get(0, 0)
+    pos, neg, rate = F.col("pos"), F.col("neg"), lambda c, n: F.log((c + 0.5) / (n + 1.0))
+    gain = F.abs(pos / max(1, n1) - neg / max(1, n0)) * F.abs(rate(pos, n1) - rate(neg, n0))
+    counts = whole.select("label", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("label").alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    best = counts.filter(pos + neg >= min(support, max(1, n1))).withColumn("gain", gain).filter("gain > 0").orderBy(F.desc("gain"), "key").limit(features).select("key")
+    turned = turned.groupBy("keys", "other").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "keys", "other").limit(swaps)
+    turned = staged(turned, "sample-swaps")
+    named = turned.select(F.explode(F.concat("keys", "other")).alias("key"))
+    model = np.sort(best.union(named).distinct().toArrow().column("key").to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def known_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [np.intersect1d(k.values.to_numpy(), shared.value, assume_unique=True) for k in b.column("keys")]
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(kept, pa.list_(pa.int64()))], names=["label", "keys"])
+
+    empty = F.array().cast("array<long>")
+    rows = whole.select("label", "keys").mapInArrow(known_keys, "label int, keys array<long>")
+    rows = rows.select(F.lit("doc").alias("kind"), "label", "keys", empty.alias("other"), F.lit(1).cast("long").alias("n"))
+    return rows.union(turned.select(F.lit("swap"), F.lit(None).cast("int"), "keys", "other", "n"))
+
 
-    return rows.mapInArrow(run, "kind string, label int, keys array<long>")
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    lists = column.combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _matrix(rows: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the features that the model knows."""
-    sizes = [len(r) for r in rows]
+    """Row and column numbers of the rows' keys."""
     flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-    at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
-    on = keys[at] == flat if len(keys) else np.zeros(0, bool)
-    return np.repeat(np.arange(len(rows)), sizes)[on], at[on]
-
-
-def fit(table: pa.Table, features: int = FEATURES, support: int = SUPPORT, counterfactual: float = 1.0, ridge: float = 1e-3, steps: int = 400) -> Model:
-    """Logistic regression by Adam over the sample; ``counterfactual`` weighs
-    the squared change of the score between paired sentences."""
-    kind = np.array(table.column("kind").to_pylist(), object)
-    label = np.array(table.column("label").to_pylist(), np.float64)
-    lists = table.column("keys").combine_chunks()
-    ends = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy().view(np.uint64)
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.searchsorted(keys, flat)
+
+
+def fit(table: pa.Table, counterfactual: float = 1.0, ridge: float = 1e-3, steps: int = 400) -> Model:
+    """Logistic regression by Adam over ``sample_features``; ``counterfactual``
+    weighs the mean squared change of the score when terms are swapped."""
+    import pyarrow.compute as pc
+
+    docs, swaps = (table.filter(pc.equal(table.column("kind"), k)) for k in ("doc", "swap"))
+    y, x = docs.column("label").to_numpy().astype(np.float64), _lists(docs.column("keys"))
     # in an order of their own, as rows come in any
-    every = sorted((k, y, tuple(flat[a:b].tolist())) for k, y, a, b in zip(kind, label, ends, ends[1:], strict=False) if k == "doc")
-    x, y = [np.array(e[2], np.uint64) for e in every], np.array([e[1] for e in every])
-    pick = lambda name: [flat[a:b] for k, a, b in zip(kind, ends, ends[1:], strict=False) if k == name]
+    order = sorted(range(len(x)), key=lambda i: (y[i], x[i].astype(">u8").tobytes()))
+    x, y = [np.sort(x[i]) for i in order], y[order]
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     if not n1 or not n0:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, known=False)
-    keys, at = np.unique(np.concatenate(x), return_inverse=True)
-    pos = np.bincount(at, np.repeat(y, [len(r) for r in x]), len(keys))
-    neg = np.bincount(at, minlength=len(keys)) - pos
-    gain = np.abs(pos / n1 - neg / n0) * np.abs(np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1)))
-    gain[pos + neg < min(support, n1)] = 0
-    best = np.lexsort((keys, -gain))[:features]
-    before, after = pick("was"), pick("now")
-    named = np.setxor1d(np.unique(np.concatenate(before)), np.unique(np.concatenate(after))) if before else np.zeros(0, np.uint64)
-    keys = np.unique(np.concatenate([keys[best[gain[best] > 0]], named]))
+    before, after, times = _lists(swaps.column("keys")), _lists(swaps.column("other")), swaps.column("n").to_numpy().astype(np.float64)
+    order = sorted(range(len(before)), key=lambda i: (before[i].tobytes(), after[i].tobytes()))
+    before, after, times = [before[i] for i in order], [after[i] for i in order], times[order]
+    keys = np.unique(np.concatenate([*x, *before, *after]))
     r, c = _matrix(x, keys)
     (br, bc), (ar, ac) = _matrix(before, keys), _matrix(after, keys)
     share = np.where(y == 1, 0.5 / n1, 0.5 / n0)
@@ -169,7 +203,7 @@ def fit(table: pa.Table, features: int = FEATURES, support: int = SUPPORT, count
         g = np.bincount(c, d[r], len(keys)) + ridge * w
         if before:
             change = np.bincount(br, w[bc], len(before)) - np.bincount(ar, w[ac], len(before))
-            change *= 2 * counterfactual / len(before)
+            change *= 2 * counterfactual * times / times.sum()
             g += np.bincount(bc, change[br], len(keys)) - np.bincount(ac, change[ar], len(keys))
         g = np.append(g, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -178,14 +212,14 @@ def fit(table: pa.Table, features: int = FEATURES, support: int = SUPPORT, count
     return Model(keys, w, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, **how) -> Model:
-    return fit(sample_features(docs, labels, **how).toArrow())
+def train(docs: DataFrame, labels: DataFrame, counterfactual: float = 1.0, **how) -> Model:
+    return fit(sample_features(docs, labels, **how).toArrow(), counterfactual)
 
 
-def toxicity(docs: DataFrame, model: Model, folds: int = FOLDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def toxicity(docs: DataFrame, model: Model, folds: int = FOLDS, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``keep`` columns, held_out, score and predicted (1 if score >= 0.5)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], fold(F.col("doc_id"), folds).alias("__fold"), F.col("text").cast("string").alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], fold(F.col(f"`{id_col}`"), folds).alias("__fold"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     kinds = {"held_out": T.BooleanType(), "score": T.DoubleType(), "predicted": T.IntegerType()}
     schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in keep], *[T.StructField(n, k) for n, k in kinds.items()]])
 
@@ -199,8 +233,9 @@ def toxicity(docs: DataFrame, model: Model, folds: int = FOLDS, keep: tuple[str,
     return rows.mapInArrow(run, schema)
 
 
-def keep_civil(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that a model trained on them and ``labels`` accepts."""
     # whole rows in one column, as any name may be among theirs
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text")
-    return toxicity(rows, train(docs, labels, **how), keep=("__row",)).filter("predicted = 0").select("__row.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    rows = docs.select(whole, F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return toxicity(rows, train(docs, labels, id_col=id_col, text_col=text_col, **how), keep=("__row",)).filter("predicted = 0").select("__row.*")
