@@ -11,7 +11,9 @@ n-grams that enough of them hold. More than 64 languages take further slices.
 Defined results: `und` with score 0 if the text is null or has no letter, or if
 nothing was learned; a text too short for an n-gram gets the most frequent
 language with score 0; ties go to the language that is more frequent, then first
-by name; repeated rows agree; an empty table gives an empty table.
+by name; repeated rows agree; of rows under one id the least (language, text) is
+learned from; very long texts are read whole; more than MAX_LANGUAGES languages are
+refused; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bpe import small_batches
 from .codepoints import CodePoints, blocks
-from .common import id_text
+from .common import hash_unit, id_text, staged
 from .toxicity import fold
 
 #: Length of the n-grams, slots of the filter (a power of two), slots per n-gram.
@@ -36,6 +38,8 @@ SAMPLE = 500
 #: An n-gram must be in this share of its language's sampled rows.
 LEAST_SHARE = 0.01
 FOLDS, HELD_OUT = 3, 1
+#: Languages, at most: a filter of 64 takes 8 MB of the broadcast.
+MAX_LANGUAGES = 1024
 UNKNOWN = "und"
 
 
@@ -102,16 +106,23 @@ class Filters:
         return names, score
 
 
-def sample_grams(docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> tuple[DataFrame, DataFrame]:
+def sample_grams(
+    docs: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> tuple[DataFrame, DataFrame]:
     """(lang, n) over all labelled rows outside the held-out fold, and (lang,
     gram, n): in how many rows of a bounded sample of each language."""
-    known = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", F.col("lang").cast("string").alias("lang"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    # the first by hash of each language: of each part of it, then of these, so no task gets a whole language
-    marked = known.select("doc_id", "lang", F.md5(id_text(F.col("doc_id"))).alias("hash")).withColumn("part", F.substring("hash", 31, 2))
-    first = lambda df, *by: df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("hash", "doc_id"))).filter(F.col("__n") <= sample)
-    chosen = first(first(marked, "lang", "part"), "lang").select("doc_id", "lang").dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("lang", "text")
+    known = docs.filter(F.col(lang_col).isNotNull() & (fold(F.col(id_col), folds) != held_out)).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
+    counts = staged(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if counts.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: their filters would not fit a broadcast")
+    # the first by hash of each language; a share of it that holds them, so no task gets a whole language
+    share = F.lit(4.0 * sample + 400) / F.col("n")
+    few = known.join(F.broadcast(counts), "lang").filter(hash_unit(id_text(F.col("id")), "language-sample") < share)
+    order = Window.partitionBy("lang").orderBy(hash_unit(id_text(F.col("id")), "language-sample"), "id")
+    chosen = few.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= sample).select("id").distinct()
+    texts = docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.struct(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).alias("row"))
+    # of several rows under an id the least is learned from, in every run
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("row").alias("row")).select("row.lang", "row.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cps = CodePoints()
@@ -134,10 +145,10 @@ def train(docs: DataFrame, least_share: float = LEAST_SHARE, sample: int = SAMPL
     return Filters.of([x for _, x in known], {x: gram[(lang == x) & (n >= least[x])] for _, x in known})
 
 
-def identify(docs: DataFrame, filters: Filters, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+def identify(docs: DataFrame, filters: Filters, folds: int = FOLDS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred and score of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    rows = docs.select("doc_id", fold(F.col("doc_id"), folds).alias("fold"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), fold(F.col(id_col), folds).alias("fold"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
