@@ -115,13 +115,18 @@ def validate(p: Predicate, schema: T.StructType) -> None:
             raise ValueError(f"literal {v!r} does not fit {p.field} {kind.simpleString()}")
 
 
+def literal(v: Any, kind: T.DataType) -> Column:
+    """A checked literal as a column of its kind; local times know no zone."""
+    return F.lit(v.isoformat(sep=" ") if isinstance(kind, T.TimestampNTZType) else v).cast(kind)
+
+
 def to_column(p: Predicate, schema: T.StructType, of: Callable[[str], Column] = lambda n: F.col(f"`{n}`")) -> Column:
     """The exact row filter."""
     if isinstance(p, Compound):
         parts = [to_column(c, schema, of) for c in p.children]
         return functools.reduce(operator.and_ if p.op == "and" else operator.or_, parts)
     c, kind = of(p.field), schema[p.field].dataType
-    lit = [F.lit(v).cast(kind) for v in p.literals]
+    lit = [literal(v, kind) for v in p.literals]
     if p.op == "is_null":
         return c.isNull()
     if p.op == "is_not_null":
@@ -199,24 +204,53 @@ def may_match(p: Predicate, stats: dict[str, tuple[Any, Any, int | None]], rows:
         return True
 
 
-def may_match_column(p: Predicate, schema: T.StructType) -> Column:
-    """``may_match`` over manifest rows: maps ``low``, ``high`` (text), ``nulls``,
-    and ``row_count``. True where nothing is known."""
+def bound_text(c: Column, kind: T.DataType) -> Column:
+    """A bound as text that reads alike in every session: instants as microseconds."""
+    return (F.unix_micros(c) if isinstance(kind, T.TimestampType) else c).cast("string")
+
+
+def bound_of(text: Column, kind: T.DataType) -> Column:
+    return F.timestamp_micros(text.try_cast("long")) if isinstance(kind, T.TimestampType) else text.try_cast(kind)
+
+
+def parse_bound(text: str | None, kind: T.DataType) -> Any:
+    """A bound on the driver; instants are microseconds."""
+    if isinstance(kind, T.TimestampType):
+        return None if text is None else int(text)
+    return text if text is None or isinstance(kind, T.StringType) else parse_literal(text, kind, "")
+
+
+def _micros(v: Any) -> Any:
+    return round(v.replace(microsecond=0).timestamp()) * 1_000_000 + v.microsecond
+
+
+def in_bounds(p: Predicate, schema: T.StructType) -> Predicate:
+    """The predicate with instants as ``parse_bound`` gives them."""
+    if isinstance(p, Compound):
+        return Compound(p.op, tuple(in_bounds(c, schema) for c in p.children))
+    return Leaf(p.op, p.field, tuple(map(_micros, p.literals))) if isinstance(schema[p.field].dataType, T.TimestampType) else p
+
+
+def may_match_column(p: Predicate, schema: T.StructType, stats: Callable[[str], tuple[Column, Column, Column] | None]) -> Column:
+    """``may_match`` over manifest rows: ``stats`` gives a column's least and
+    greatest value and number of nulls in a file of ``row_count`` rows, or None
+    where nothing is known. True where a match cannot be ruled out."""
     if isinstance(p, Compound):
-        parts = [may_match_column(c, schema) for c in p.children]
+        parts = [may_match_column(c, schema, stats) for c in p.children]
         return functools.reduce(operator.and_ if p.op == "and" else operator.or_, parts)
-    kind = schema[p.field].dataType
-    nulls, rows = F.col("nulls")[p.field], F.col("row_count")
+    if (known := stats(p.field)) is None:
+        return F.lit(True)
+    kind, (low, high, nulls), rows = schema[p.field].dataType, known, F.col("row_count")
     if p.op == "is_null":
         return F.coalesce(nulls > 0, F.lit(True))
     some = F.coalesce(nulls < rows, F.lit(True))
     if p.op == "is_not_null" or is_nested(kind) or isinstance(kind, T.BinaryType):
         return some
-    low, high = (F.col(side)[p.field].try_cast(kind) for side in ("low", "high"))
-    v = [F.lit(x).cast(kind) for x in p.literals]
+    v = [literal(x, kind) for x in p.literals]
     inside = lambda x: (low <= x) & (high >= x)
     tests = {
         "eq": lambda: inside(v[0]), "in": lambda: functools.reduce(operator.or_, map(inside, v)), "ne": lambda: ~((low == v[0]) & (high == v[0])),
         "lt": lambda: low < v[0], "le": lambda: low <= v[0], "gt": lambda: high > v[0], "ge": lambda: high >= v[0],
+        "starts_with": lambda: (F.substring(low, F.lit(1), F.length(v[0])) <= v[0]) & (F.substring(high, F.lit(1), F.length(v[0])) >= v[0]),
     }
     return some & F.coalesce(tests[p.op](), F.lit(True)) if p.op in tests else some

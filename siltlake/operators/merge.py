@@ -18,7 +18,7 @@ import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,8 +86,9 @@ def _retract(kind: Column) -> Column:
 
 
 def _order(spec: MergeSpec) -> Column:
-    """Ascending order of records: nulls are smallest in a struct."""
-    return F.struct(*[F.col(f"`{s}`") for s in spec.sequence], F.col(SEQ))
+    """Ascending order of records: nulls are smallest in a struct. One number where
+    that is enough, so that maxima over it are kept by hash."""
+    return F.struct(*[F.col(f"`{s}`") for s in spec.sequence], F.col(SEQ)) if spec.sequence else F.col(SEQ)
 
 
 def _compare(a: Column, b: Column, spec: MergeSpec) -> Column:
@@ -117,28 +118,28 @@ def merge(df: DataFrame, spec: MergeSpec, drop_deletes: bool = True) -> DataFram
     elif _needs_fold(df, spec):
         out = _fold(df, spec)
     else:
-        out = _aggregate(df, spec)
+        out = _aggregate(df, spec, drop_deletes)
     out = out.select(*[F.col(f"`{c}`") for c in columns])
     return out.filter(~_retract(F.col(KIND))) if drop_deletes else out
 
 
 def _pick(df: DataFrame, spec: MergeSpec) -> DataFrame:
-    """The last (deduplicate) or first (first-row) whole record of each key."""
-    record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    first = spec.engine == "first-row"
-    if spec.descending and spec.sequence:
-        ordered = F.array_sort(F.collect_list(record), lambda a, b: _compare(a, b, spec))
-        best = F.get(ordered, F.lit(0)) if first else F.element_at(ordered, -1)
-    else:
-        best = (F.min_by if first else F.max_by)(record, _order(spec))
-    aggs = [best.alias("__r")]
+    """The last (deduplicate) or first (first-row) whole record of each key: a row
+    number of one, of which Spark keeps only the best in each task before a shuffle."""
+    first, key = spec.engine == "first-row", Window.partitionBy(*[F.col(f"`{k}`") for k in spec.keys])
     if first:
-        aggs += [F.count("*").alias("__n"), F.max(_retract(F.col(KIND))).alias("__retract")]
-    got = df.groupBy(*spec.keys).agg(*aggs)
-    if first:
-        bad = (F.col("__n") > 1) & F.col("__retract")
-        got = got.withColumn("__r", F.when(bad, F.raise_error(F.lit("first-row cannot take a retract; set ignore-delete"))).otherwise(F.col("__r")))
-    return got.select("__r.*")
+        order = [F.col(SEQ).asc()]
+        if not spec.ignore_delete:
+            df = df.withColumn("__n", F.count("*").over(key)).withColumn("__retract", F.max(_retract(F.col(KIND))).over(key))
+    else:
+        # null is smallest in either direction
+        order = [F.col(f"`{s}`").asc_nulls_last() if spec.descending else F.col(f"`{s}`").desc_nulls_last() for s in spec.sequence]
+        order.append(F.col(SEQ).desc())
+    got = df.withColumn("__place", F.row_number().over(key.orderBy(*order))).filter("__place = 1").drop("__place")
+    if "__n" in got.columns:
+        bad = F.raise_error(F.lit("first-row cannot take a retract; set ignore-delete")).cast("byte")
+        got = got.withColumn(KIND, F.when((F.col("__n") > 1) & F.col("__retract"), bad).otherwise(F.col(KIND))).drop("__n", "__retract")
+    return got
 
 
 def _needs_fold(df: DataFrame, spec: MergeSpec) -> bool:
@@ -157,48 +158,68 @@ def wrap_to(total: Column, kind: T.DataType) -> Column:
     return _wrap(total, BITS[name]).cast(kind) if name in BITS else total.try_cast(kind)
 
 
+def _sum(x: Column, retract: Column, live: Column, kind: T.DataType) -> Column:
+    """Sum of values, less those taken back. Whole numbers wrap as their type does:
+    halves are summed apart and put together by their bits, as a long has no room
+    for the sum and a decimal is slow."""
+    signed = lambda v: F.when(live, F.when(retract, -v).otherwise(v))
+    name = kind.simpleString()
+    if name not in BITS:
+        return F.sum(signed(x)).try_cast(kind)
+    if name == "bigint":
+        low_half = F.lit(0xFFFFFFFF).cast("long")
+        high, low = F.sum(signed(F.shiftright(x, 32))), F.sum(signed(x.bitwiseAND(low_half)))
+        return F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND(low_half))
+    spare = 64 - BITS[name]
+    return F.shiftright(F.shiftleft(F.sum(signed(x.cast("long"))), spare), spare).cast(kind)
+
+
 def _simple(name: str, x: Column, kind: T.DataType, order: Column, retract: Column, skip: bool) -> Column:
     """One aggregator as an aggregate expression; ``skip`` ignores retracts."""
     live = ~retract if skip else F.lit(True)
     if name == "sum":
-        wide = x.cast("decimal(38,0)") if kind.simpleString() in BITS else x
-        signed = F.when(~live, None).when(retract, -wide).otherwise(wide)
-        return wrap_to(F.sum(signed), kind)
+        return _sum(x, retract, live, kind)
     if name in ("min", "max", "bool_and", "bool_or"):
         agg = {"min": F.min, "max": F.max, "bool_and": F.bool_and, "bool_or": F.bool_or}[name]
         return agg(F.when(live, x))
-    boxed = F.struct(F.when(retract, None).otherwise(x).alias("x"))
+    shown = F.when(~retract, x)
     if name in ("last_value", "primary-key"):
-        return F.max_by(boxed, F.when(live, order))["x"]
+        return F.max_by(shown, F.when(live, order))
     if name == "last_non_null_value":
-        return F.max_by(boxed, F.when(live & x.isNotNull(), order))["x"]
-    plain = F.struct(x.alias("x"))
-    return F.min_by(plain, F.when(live if name == "first_value" else live & x.isNotNull(), order))["x"]
+        return F.max_by(shown, F.when(live & x.isNotNull(), order))
+    return F.min_by(x, F.when(live if name == "first_value" else live & x.isNotNull(), order))
+
 
+def _aggregate(df: DataFrame, spec: MergeSpec, drop_deletes: bool) -> DataFrame:
+    """Aggregation, and partial updates whose order can be had from a maximum.
 
-def _aggregate(df: DataFrame, spec: MergeSpec) -> DataFrame:
-    """Aggregation, and partial updates whose order can be had from a maximum."""
+    A key with one record keeps it as it is. Most aggregators give just that; the
+    record's own value is carried only where they do not: for a lone retract that is
+    asked for, and in sequence groups, whose fields may all be null."""
     retract, order = _retract(F.col(KIND)), _order(spec)
-    values, aggs, strict = _values(df, spec), [], []
+    values, aggs, strict, apart = _values(df, spec), [], [], set()
     for f in values:
         x = F.col(f"`{f.name}`")
         if spec.engine == "aggregation":
             name, skip = spec.aggregator(f.name), f.name in spec.ignore_retract
-            aggs.append(_simple(name, x, f.dataType, order, retract, skip).alias(f.name))
+            aggs.append(_simple(name, x, f.dataType, order, retract, skip))
             if name not in RETRACTABLE and not skip:
                 strict.append(f.name)
+            if not drop_deletes:
+                apart.add(f.name)
         elif group := spec.group_of(f.name):
             seqs = [F.col(f"`{g}`") for g in group]
             known = functools.reduce(lambda a, b: a | b, [s.isNotNull() for s in seqs])
-            aggs.append(F.max_by(F.struct(x.alias("x")), F.when(known, F.struct(*seqs, order.alias("__o"))))["x"].alias(f.name))
+            aggs.append(F.max_by(x, F.when(known, F.struct(*seqs, order.alias("__o")))))
+            apart.add(f.name)
         else:
-            aggs.append(F.max_by(x, F.when(x.isNotNull(), order)).alias(f.name))
+            aggs.append(F.max_by(x, F.when(x.isNotNull(), order)))
     if spec.engine == "partial-update" and not spec.ignore_delete:
         strict = ["*"]
-    record = F.struct(*[F.col(f"`{f.name}`") for f in values], F.col(KIND))
+    own = [F.first(F.col(f"`{f.name}`")).alias(f"__own{i}") for i, f in enumerate(values) if f.name in apart]
     got = df.groupBy(*spec.keys).agg(
-        *[a.alias(f"__v{i}") for i, a in enumerate(aggs)], F.count("*").alias("__n"), F.max(retract).alias("__retract"),
-        F.max(SEQ).alias("__seq"), F.first(record).alias("__one"),
+        *[a.alias(f"__v{i}") for i, a in enumerate(aggs)], *own, F.count("*").alias("__n"), F.max(retract).alias("__retract"),
+        F.max(SEQ).alias("__seq"), F.first(KIND).alias("__kind"),
     )
     if strict:
         bad = F.raise_error(F.lit(f"a retract reached {'partial-update' if strict == ['*'] else strict} which cannot take it back"))
@@ -206,9 +227,9 @@ def _aggregate(df: DataFrame, spec: MergeSpec) -> DataFrame:
     single = F.col("__n") == 1
     return got.select(
         *[F.col(f"`{k}`") for k in spec.keys],
-        *[F.when(single, F.col("__one")[f.name]).otherwise(F.col(f"__v{i}")).alias(f.name) for i, f in enumerate(values)],
+        *[(F.when(single, F.col(f"__own{i}")).otherwise(F.col(f"__v{i}")) if f.name in apart else F.col(f"__v{i}")).alias(f.name) for i, f in enumerate(values)],
         F.col("__seq").alias(SEQ),
-        F.when(single, F.col("__one")[KIND]).otherwise(F.lit(INSERT)).cast("byte").alias(KIND),
+        F.when(single, F.col("__kind")).otherwise(F.lit(INSERT)).cast("byte").alias(KIND),
     )
 
 

@@ -56,13 +56,3 @@ def live(entries: DataFrame, where: Column | None = None) -> DataFrame:
 
 def as_entry(row: Row, **change: Any) -> dict[str, Any]:
     return row.asDict() | change
-
-
-def bounds(entry: Row, schema: T.StructType, parse) -> dict[str, tuple[Any, Any, int | None]]:
-    """(min, max, nulls) by column, in the types of the schema."""
-    out = {}
-    nulls, low, high = entry["nulls"] or {}, entry["low"] or {}, entry["high"] or {}
-    for f in schema.fields:
-        if f.name in nulls or f.name in low:
-            out[f.name] = (parse(low.get(f.name), f.dataType), parse(high.get(f.name), f.dataType), nulls.get(f.name))
-    return out

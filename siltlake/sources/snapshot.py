@@ -18,10 +18,11 @@ class Snapshot:
     delta: list[str]
     kind: str
     user: str
-    identifier: int
+    identifier: int | None
     millis: int
     total_rows: int
     delta_rows: int
+    total_bytes: int = 0
     deletions: list[dict] = field(default_factory=list)
     indexes: list[dict] = field(default_factory=list)
     watermark: int | None = None
@@ -29,6 +30,8 @@ class Snapshot:
     next_sequence: int = 0
     properties: dict[str, str] = field(default_factory=dict)
     statistics: dict | None = None
+    #: the last identifier that each user committed with; expiry does not forget it
+    users: dict[str, int] = field(default_factory=dict)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=1)
@@ -98,8 +101,6 @@ class Snapshots:
         return best
 
     def last_of_user(self, user: str) -> int | None:
-        """The identifier of a user's last commit among the snapshots kept."""
-        for n in reversed(self.ids()):
-            if (s := self.read(n)).user == user:
-                return s.identifier
-        return None
+        """The last identifier that a user committed with, if any."""
+        last = self.latest()
+        return last.users.get(user) if last else None

@@ -6,12 +6,15 @@ pruned files, so projection, row-group filters and joins stay with Catalyst.
 
 from __future__ import annotations
 
+import dataclasses
 import functools
+import json
 import re
 import time
 import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field
 from typing import Any
 from urllib.parse import unquote
 
@@ -24,30 +27,60 @@ from ..functions.casts import cast
 from ..functions.types import is_nested
 from ..operators.merge import DELETE, KIND, ROW_ID, SEQ, MergeSpec, merge
 from . import manifest as M
-from .fs import Files
+from .fs import Files, Item
 from .schema import Schemas, TableSchema
 from .snapshot import ANALYZE, APPEND, COMPACT, OVERWRITE, Snapshot, Snapshots
 
-FORMATS = ("parquet", "orc", "avro")
+#: File formats by identifier: the names of Spark's data sources for them. Others are
+#: registered with ``register_format``.
+formats: dict[str, str] = {"parquet": "parquet", "orc": "orc", "avro": "avro"}
 POSTPONE, UNAWARE = -2, -1
 #: Files up to this many are told apart by a broadcast table of their row ids.
 BROADCAST_FILES = 200_000
+#: Kinds of indexes over row ids.
+ROW_INDEXES = ("global", "ivf")
+#: Deletion tables of a snapshot before they are made one.
+DELETIONS = 16
+#: Compressed bytes of a bucket up to which one task merges it without a shuffle.
+BUCKET_BYTES = 2 << 30
 
 
 class CommitConflict(RuntimeError):
     """Someone else removed files that this commit builds on."""
 
 
+class SequenceConflict(CommitConflict):
+    """Someone else's records took sequence numbers that these were given."""
+
+
 @dataclass
 class Changes:
-    """What a write prepared and a commit makes visible."""
+    """What a write prepared and a commit makes visible. ``base`` is the snapshot
+    that the rows were read from, for conflict checks; ``marked`` the files whose
+    rows ``deletions`` marks."""
 
     added: list[dict[str, Any]] = field(default_factory=list)
     deleted: list[Row] = field(default_factory=list)
     deletions: dict | None = None
-    indexes: list[dict] | None = None
+    marked: list[str] = field(default_factory=list)
+    indexes: list[dict] = field(default_factory=list)
     schema_id: int = 0
     statistics: dict | None = None
+    base: Snapshot | None = None
+    #: sequence numbers follow those of ``base``
+    numbered: bool = False
+
+    def to_json(self) -> str:
+        """For a commit by another process; files to delete are named by key."""
+        return json.dumps({**asdict(dataclasses.replace(self, deleted=[], base=None)), "deleted": [f["key"] for f in self.deleted], "base": self.base and self.base.id})
+
+    @classmethod
+    def from_json(cls, text: str, table: LakeTable) -> Changes:
+        x = json.loads(text)
+        gone, base = set(x.pop("deleted")), x.pop("base")
+        base = None if base is None else table.snapshots.read(base)
+        live = [f for f in table.plan(version=base.id).files if f["key"] in gone] if gone and base else []
+        return cls(**x, deleted=live, base=base)
 
 
 @dataclass
@@ -57,6 +90,8 @@ class Plan:
     snapshot: Snapshot | None
     files: list[Row]
     delta: bool = False
+    #: row ids to keep, as closed ranges
+    row_ranges: list[tuple[int, int]] | None = None
 
     @property
     def rows(self) -> int:
@@ -66,6 +101,7 @@ class Plan:
 class LakeTable:
     def __init__(self, spark: SparkSession, path: str, branch: str = "main", options: dict | None = None, schema_json: str | None = None):
         self.spark, self.fs = spark, Files(spark)
+        branch = branch if branch not in ("", "main") else (options or {}).get("branch") or "main"
         self.path, self.branch = path.rstrip("/"), branch
         self.root = self.path if branch in ("", "main") else f"{self.path}/branch/branch-{branch}"
         self.schemas, self.snapshots = Schemas(self.fs, self.root), Snapshots(self.fs, self.root)
@@ -74,6 +110,7 @@ class LakeTable:
             raise ValueError(f"no table at {path}" + (f", branch {branch}" if branch != "main" else ""))
         # a given schema is read with instead of the latest
         self.schema, self.extra = TableSchema.from_json(schema_json) if schema_json else latest, options or {}
+        self._old: dict[int, TableSchema] = {}
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, fields: T.StructType, partition_keys=(), primary_keys=(), options=None, comment: str = "") -> LakeTable:
@@ -89,6 +126,20 @@ class LakeTable:
     def has_keys(self) -> bool:
         return bool(self.schema.primary_keys)
 
+    def schema_of(self, version: int) -> TableSchema:
+        """A schema by its number; schema files never change."""
+        if version == self.schema.id:
+            return self.schema
+        if version not in self._old:
+            self._old[version] = self.schemas.read(version)
+        return self._old[version]
+
+    @property
+    def marks_old_rows(self) -> bool:
+        """A table with keys whose compaction marks rows that newer ones replace:
+        what is past level 0 is read without a merge."""
+        return self.has_keys and self.options.flag("deletion-vectors.enabled")
+
     def alter(self, change: Callable[[TableSchema], TableSchema]) -> LakeTable:
         """Write the next schema version, e.g. ``alter(lambda s: s.add_column(...))``."""
         made = change(self.schema)
@@ -107,12 +158,13 @@ class LakeTable:
         return self.snapshots.latest()
 
     def _partition_column(self, name: str) -> Column:
-        kind = self.schema.fields[name].dataType
-        return F.col("partition")[name].cast(kind)
+        kind, text = self.schema.fields[name].dataType, F.col("partition")[name]
+        return (F.concat(text, F.lit("Z")) if isinstance(kind, T.TimestampType) else text).cast(kind)
 
     def plan(
         self, predicate: P.Predicate | None = None, partitions: list[dict] | None = None, buckets: Iterable[int] | None = None, version: int | None = None,
         timestamp_ms: int | None = None, delta: bool = False, row_ranges: list[tuple[int, int]] | None = None, limit: int | None = None,
+        every_level: bool = False,
     ) -> Plan:
         """Choose the snapshot and the files that may hold what is asked for."""
         s = self.starting_snapshot(version, timestamp_ms)
@@ -129,58 +181,69 @@ class LakeTable:
             where.append(F.col("bucket") != POSTPONE)
         for lo, hi in [(min(a for a, _ in row_ranges), max(b for _, b in row_ranges))] if row_ranges else []:
             where.append((F.col("first_row_id") + F.col("row_count") > lo) & (F.col("first_row_id") <= hi))
+        if self.marks_old_rows and not delta and not every_level:
+            # rows of level 0 are seen when compaction has marked those that they replace
+            where.append(F.col("level") > 0)
         prunable = self._prunable(predicate) if not delta else None
         if prunable is not None:
-            # statistics are under the names and types of the schema they were written with
-            where.append((F.col("schema_id") != self.schema.id) | P.may_match_column(prunable, schema))
+            where.append(self._may_match(prunable))
         entries = M.read(self.spark, self.root, s.delta if delta else s.base + s.delta)
         cond = functools.reduce(lambda a, b: a & b, where) if where else None
         found = entries.filter(F.col("kind") == M.ADD) if delta else M.live(entries)
         found = found if cond is None else found.filter(cond)
         # of the statistics, the driver gets what it tests itself
-        used = sorted(P.fields(prunable) | set(self.schema.trimmed_keys[:1]))
+        spread = predicate is not None and not delta and self.options.flag("data-evolution.enabled")
+        used = sorted(self._names_ever({*self.schema.trimmed_keys[:1], *(P.fields(predicate) if spread else ())}))
         less = {c: F.map_filter(c, lambda k, _: k.isin(*used)) if used else F.lit(None).cast(M.SCHEMA[c].dataType) for c in ("low", "high", "nulls")}
         files = found.withColumns(less).orderBy("min_sequence", "key").collect()
         if row_ranges:
             inside = lambda f: any(f["first_row_id"] + f["row_count"] > a and f["first_row_id"] <= b for a, b in row_ranges)
             files = [f for f in files if f["first_row_id"] is not None and inside(f)]
-        if prunable is not None:
-            files = self._prune(files, prunable)
-        if limit is not None and predicate is None and not self.has_keys and not s.deletions and not delta:
+        if spread:
+            from ..operators.evolution import ranges_that_may_match
+
+            files = ranges_that_may_match(self, files, predicate)
+        if limit is not None and predicate is None and not self.has_keys and not s.deletions and not delta and not row_ranges:
             files = self._enough(files, limit)
-        return Plan(s, files, delta)
+        return Plan(s, files, delta, row_ranges)
 
     def _prunable(self, predicate: P.Predicate | None) -> P.Predicate | None:
-        """What of a predicate may drop files: below a merge its keys only; with
-        columns of the same rows in several files, nothing."""
+        """What of a predicate may drop single files: below a merge its keys only;
+        columns of the same rows in several files are looked at by range."""
         if predicate is None or self.options.flag("data-evolution.enabled"):
             return None
-        return P.pick(predicate, lambda names: names <= set(self.schema.primary_keys)) if self.has_keys else predicate
-
-    def _prune(self, files: list[Row], predicate: P.Predicate) -> list[Row]:
-        """Drop files whose statistics rule a match out, those of older schemas too."""
-        parse = lambda text, kind: P.parse_literal(text, kind, "")
-        cache: dict[int, T.StructType] = {}
-        kept = []
-        for f in files:
-            if f["schema_id"] not in cache:
-                cache[f["schema_id"]] = self._as_now(f["schema_id"])
-            known = cache[f["schema_id"]]
-            stats = M.bounds(f, known, parse)
-            # a column that the file has not is null in every row
-            here = {x.name for x in self.schemas.read(f["schema_id"]).fields.fields} if f["schema_id"] != self.schema.id else set(known.names)
-            missing = {n: (None, None, f["row_count"]) for n in P.fields(predicate) if n not in here and n not in stats and f["schema_id"] == self.schema.id}
-            if P.may_match(predicate, stats | missing, f["row_count"]):
-                kept.append(f)
-        return kept
-
-    def _as_now(self, schema_id: int) -> T.StructType:
-        """Columns of an old schema under their names of now, where the type is the same."""
-        if schema_id == self.schema.id:
-            return self.schema.fields
-        old = {f.metadata["field_id"]: f for f in self.schemas.read(schema_id).fields.fields}
-        same = [f for f in self.schema.fields.fields if (o := old.get(f.metadata["field_id"])) is not None and o.dataType == f.dataType and o.name == f.name]
-        return T.StructType(same)
+        merged = self.has_keys and not self.marks_old_rows
+        return P.pick(predicate, lambda names: names <= set(self.schema.primary_keys)) if merged else predicate
+
+    def _names_ever(self, names: Iterable[str]) -> set[str]:
+        """The names that columns have had, by field id."""
+        ids = {self.schema.fields[n].metadata["field_id"] for n in names}
+        return {f.name for v in self.schemas.ids() for f in self.schema_of(v).fields.fields if f.metadata["field_id"] in ids} if ids else set()
+
+    def _may_match(self, predicate: P.Predicate) -> Column:
+        """Whether a file may hold a match, from the statistics in its manifest
+        entry, which are under the names and types of the schema it was written with."""
+        now = self.schema.fields
+
+        def of(version: int) -> Column:
+            old = {f.metadata["field_id"]: f for f in self.schema_of(version).fields.fields}
+
+            def stats(name: str) -> tuple[Column, Column, Column] | None:
+                f = now[name]
+                was = old.get(f.metadata["field_id"])
+                if was is None:
+                    # a column that the file has not is null in every row
+                    none = F.lit(None).cast(f.dataType)
+                    return none, none, F.col("row_count")
+                # wider whole numbers keep their order; other casts may not
+                if was.dataType != f.dataType and not _widens(was.dataType, f.dataType):
+                    return None
+                low, high = (P.bound_of(F.col(side)[was.name], was.dataType).cast(f.dataType) for side in ("low", "high"))
+                return low, high, F.col("nulls")[was.name]
+
+            return (F.col("schema_id") == version) & P.may_match_column(predicate, now, stats)
+
+        return functools.reduce(lambda a, b: a | b, map(of, sorted({*self.schemas.ids(), self.schema.id})))
 
     @staticmethod
     def _enough(files: list[Row], limit: int) -> list[Row]:
@@ -208,8 +271,9 @@ class LakeTable:
             raise ValueError("row ids and sequence numbers need row tracking")
         if predicate is not None:
             P.validate(predicate, self.schema.fields)
-        plan = self.plan(predicate, limit=limit, **scan)
-        df = self._rows(plan, predicate)
+        plan = self.plan(predicate, limit=limit if row_ids is None else None, **scan)
+        needed = {*names, *P.fields(predicate), *([ROW_ID] if row_ids is not None else [])}
+        df = self.rows_of(plan, predicate, needed)
         if row_ids is not None:
             df = df.join(row_ids.select(F.col(ROW_ID)), ROW_ID, "left_semi")
         if predicate is not None:
@@ -219,17 +283,27 @@ class LakeTable:
 
     def changes(self, version: int, columns: list[str] | None = None) -> DataFrame:
         """Rows that one snapshot added, unmerged, with ``_VALUE_KIND`` first."""
-        df = self._rows(self.plan(version=version, delta=True), None)
+        df = self.rows_of(self.plan(version=version, delta=True))
         return df.select(KIND, *[F.col(f"`{n}`") for n in columns or self.schema.fields.names])
 
-    def _rows(self, plan: Plan, predicate: P.Predicate | None) -> DataFrame:
+    def rows_of(self, plan: Plan, predicate: P.Predicate | None = None, needed: set[str] | None = None) -> DataFrame:
+        """Rows of a plan's files, merged. ``predicate`` may be used below the merge
+        where that is safe; ``needed`` names the columns that will be looked at."""
         if self.options.flag("data-evolution.enabled"):
             from ..operators.evolution import merge_columns
 
-            return merge_columns(self, plan)
+            df = merge_columns(self, plan, needed)
+        else:
+            df = self._merged(plan, predicate)
+        if plan.row_ranges:
+            df = df.filter(functools.reduce(lambda a, b: a | b, [F.col(ROW_ID).between(lo, hi) for lo, hi in plan.row_ranges]))
+        return df
+
+    def _merged(self, plan: Plan, predicate: P.Predicate | None) -> DataFrame:
         deletions = plan.snapshot.deletions if plan.snapshot and not plan.delta else []
-        if not self.has_keys or plan.delta:
-            return self.scan_files(plan.files, deletions)
+        if not self.has_keys or plan.delta or self.marks_old_rows:
+            df = self.scan_files(plan.files, deletions)
+            return df if not self.has_keys or plan.delta else df.filter(~F.col(KIND).isin(1, DELETE))
         raw, mixed = self._sections(plan.files)
         keys = P.pick(predicate, lambda names: names <= set(self.schema.primary_keys))
         spec = self.options.merge_spec(self.schema.primary_keys)
@@ -237,7 +311,7 @@ class LakeTable:
         if raw:
             parts.append(self.scan_files(raw, deletions))
         if mixed or not raw:
-            below = self.scan_files(mixed, deletions)
+            below = self.scan_files(mixed, deletions, by_bucket=True)
             if keys is not None:
                 # a key's records all pass or all fail: safe below the merge
                 below = below.filter(P.to_column(keys, self.schema.fields))
@@ -257,7 +331,7 @@ class LakeTable:
             groups.setdefault((tuple(sorted((f["partition"] or {}).items())), f["bucket"]), []).append(f)
         raw, mixed = [], []
         for fs in groups.values():
-            known = [(f, *(P.parse_literal((f[s] or {}).get(lead), kind, "") for s in ("low", "high"))) for f in fs]
+            known = [(f, *(P.parse_bound((f[s] or {}).get(lead), kind) for s in ("low", "high"))) for f in fs]
             if any(lo is None or hi is None for _, lo, hi in known) and len(fs) > 1:
                 mixed += fs
                 continue
@@ -279,27 +353,40 @@ class LakeTable:
         alone = all(f["unique_keys"] and f["delete_count"] == 0 for f in section) and len({f["snapshot_id"] for f in section}) <= 1
         (raw if alone else mixed).extend(section)
 
-    def scan_files(self, files: list[Row], deletions: list[dict] = ()) -> DataFrame:
+    def scan_files(self, files: list[Row], deletions: list[dict] = (), by_bucket: bool = False) -> DataFrame:
         """Rows of data files as the schema of now has them, with sequence
-        numbers, kinds and, under row tracking, row ids; without merging."""
+        numbers, kinds and, under row tracking, row ids; without merging.
+        ``by_bucket`` reads each bucket in one task, where its size allows that."""
         # only files that have deleted rows are joined with these
-        touched = {k for d in deletions for k in d["files"]}
+        touched = self.files_with_deletions(deletions) if deletions else set()
         groups: dict[tuple, list[Row]] = {}
         for f in files:
             groups.setdefault((f["schema_id"], f["format"], tuple(f["write_cols"] or ()), f["key"] in touched), []).append(f)
-        parts = [self._scan_group(sid, fmt, list(cols), fs, deletions if hit else []) for (sid, fmt, cols, hit), fs in sorted(groups.items(), key=lambda g: str(g[0]))]
+        buckets = self._buckets(files) if by_bucket else 0
+        parts = [self._scan_group(sid, fmt, list(cols), fs, deletions if hit else [], buckets) for (sid, fmt, cols, hit), fs in sorted(groups.items(), key=lambda g: str(g[0]))]
         if not parts:
             kinds = {SEQ: "long", KIND: "byte", ROW_ID: "long"}
             fields = [*self.schema.fields.fields, *[T.StructField(n, T._parse_datatype_string(kinds[n])) for n in self._all_names() if n in kinds]]
             return self.spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
         return functools.reduce(DataFrame.unionByName, parts)
 
-    def _scan_group(self, schema_id: int, fmt: str, write_cols: list[str], files: list[Row], deletions: list[dict]) -> DataFrame:
-        old = self.schema if schema_id == self.schema.id else self.schemas.read(schema_id)
+    def _buckets(self, files: list[Row]) -> int:
+        """The number of buckets if every file is one's and their sizes suit tasks, else 0."""
+        n, sizes = self.options.number("bucket"), {}
+        for f in files:
+            if f["total_buckets"] != n or not re.search(r"_\d{5,}\.[^/]*$", f["path"]):
+                return 0
+            sizes[f["bucket"]] = sizes.get(f["bucket"], 0) + f["size"]
+        return n if n > 0 and max(sizes.values(), default=0) <= BUCKET_BYTES else 0
+
+    def _scan_group(self, schema_id: int, fmt: str, write_cols: list[str], files: list[Row], deletions: list[dict], buckets: int = 0) -> DataFrame:
+        old = self.schema_of(schema_id)
         stored = [f for f in old.fields.fields if not write_cols or f.name in write_cols]
         # physical names are the schema's of that time; files without a record kind hold inserts only
         physical = T.StructType([*[T.StructField(f.name, f.dataType) for f in stored], T.StructField(SEQ, T.LongType()), T.StructField(KIND, T.ByteType())])
-        df = self.spark.read.format(fmt).schema(physical).load([f["path"] for f in files])
+        df = self.spark.read.format(formats[fmt]).schema(physical).load([f["path"] for f in files])
+        if buckets:
+            df = bucketed(df, old.bucket_keys(), buckets)
         tracked = self.options.flag("row-tracking.enabled")
         if tracked or deletions:
             if fmt != "parquet":
@@ -324,7 +411,23 @@ class LakeTable:
 
     def deleted_rows(self, deletions: list[dict]) -> DataFrame:
         """(key, position) of rows that deletion vectors mark."""
-        return self.spark.read.schema("key string, position long").parquet(*[f"{self.root}/{d['path']}" for d in deletions])
+        return self.spark.read.schema("key string, position long").parquet(*[f"{self.root}/{d['path']}/rows" for d in deletions])
+
+    def deletion_counts(self, deletions: list[dict]) -> DataFrame:
+        """(key, count) of the files that have deleted rows."""
+        return self.spark.read.schema("key string, count long").parquet(*[f"{self.root}/{d['path']}/files" for d in deletions])
+
+    def files_with_deletions(self, deletions: list[dict]) -> set[str]:
+        return {r["key"] for r in self.deletion_counts(deletions).select("key").distinct().collect()}
+
+    def write_deletions(self, rows: DataFrame) -> tuple[dict | None, list[str]]:
+        """A deletion table of (key, position) rows, and the files it marks."""
+        name = f"index/deletions-{uuid.uuid4().hex}"
+        rows.select("key", "position").write.parquet(f"{self.root}/{name}/rows")
+        made = self.spark.read.schema("key string, position long").parquet(f"{self.root}/{name}/rows")
+        made.groupBy("key").count().coalesce(1).write.parquet(f"{self.root}/{name}/files")
+        by_file = self.deletion_counts([{"path": name}]).collect()
+        return {"path": name, "rows": sum(r["count"] for r in by_file), "files": len(by_file)} if by_file else None, [r["key"] for r in by_file]
 
     @staticmethod
     def _evolved(was: T.StructField, now: T.StructField) -> Column:
@@ -361,18 +464,16 @@ class LakeTable:
         typed = [F.col(f"`{n}`").cast(schema.fields[n].dataType).alias(n) for n in names]
         carried = [F.col(c) for c in (SEQ, KIND) if c in df.columns]
         df = df.select(*typed, *carried)
+        last = self.snapshots.latest()
+        numbered = self.has_keys and SEQ not in df.columns
         if self.has_keys:
-            if SEQ not in df.columns:
-                last = self.snapshots.latest()
-                df = df.withColumn(SEQ, F.lit(last.next_sequence if last else 0) + F.monotonically_increasing_id())
-            if KIND not in df.columns:
-                df = df.withColumn(KIND, F.lit(0).cast("byte"))
-            df = df.withColumn(KIND, F.col(KIND).cast("byte"))
+            df = df.withColumn(SEQ, F.monotonically_increasing_id()) if numbered else df
+            df = df.withColumn(KIND, (F.col(KIND) if KIND in df.columns else F.lit(0)).cast("byte"))
         default = self.options.text("partition.default-name")
         folder = f"{(external or self._data_root()).rstrip('/')}/{uuid.uuid4().hex}"
         where = []
         for k in schema.partition_keys if not columns else []:
-            text = F.col(f"`{k}`").cast("string")
+            text = partition_text(F.col(f"`{k}`"), schema.fields[k].dataType)
             df = df.withColumn(f"pt.{k}", F.when(text.isNull() | (F.trim(text) == ""), default).otherwise(text))
             where.append(f"pt.{k}")
         bucketed = self.options.number("bucket") > 0 or self.options.number("bucket") == POSTPONE
@@ -383,14 +484,28 @@ class LakeTable:
             salts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // max(1, self.options.number("bucket")))
             keys = [F.col(f"`{k}`") for k in schema.bucket_keys()] or [F.lit(0)]
             df = df.repartition(*[F.col(f"`{w}`") for w in where], F.pmod(F.xxhash64(*keys), F.lit(salts)))
-        if self.has_keys and self.options.number("bucket") != POSTPONE:
+        elif self.has_keys:
+            df = df.repartition(*[F.col(f"`{k}`") for k in schema.primary_keys])
+        if self.has_keys:
             df = df.sortWithinPartitions(*[F.col(f"`{c}`") for c in (*where, *schema.primary_keys)], SEQ)
+        if numbered:
+            # a key's records are in one task, in order: places in the task are numbers enough, and no task's rows use up others'
+            place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+            df = df.withColumn(SEQ, F.lit(last.next_sequence if last else 0).cast("long") + place)
         fmt = self.options.text("file.format")
-        if fmt not in FORMATS:
+        if fmt not in formats:
             raise ValueError(f"unknown file format {fmt!r}")
-        writer = df.write.format(fmt).option("compression", self.options.text("file.compression"))
+        writer = df.write.format(formats[fmt]).option("compression", self.options.text("file.compression"))
+        writer = writer.option("maxRecordsPerFile", max(1, self.options.size("target-file-size") // self._row_bytes(last, names)))
         (writer.partitionBy(*where) if where else writer).save(folder)
-        return Changes(added=self._describe(folder, fmt, names if columns else None, level, unique), schema_id=schema.id)
+        added = self._describe(folder, fmt, names if columns else None, level, unique)
+        return Changes(added=added, schema_id=schema.id, base=last, numbered=numbered)
+
+    def _row_bytes(self, last: Snapshot | None, names: list[str]) -> int:
+        """Bytes that a row takes: as files show, else by the types of its columns."""
+        if last and last.total_rows > 0 and last.total_bytes > 0 and len(names) == len(self.schema.fields.names):
+            return max(1, last.total_bytes // last.total_rows)
+        return sum(_ROW_BYTES.get(type(f.dataType), 8) for f in self.schema.fields.fields if f.name in names)
 
     def _data_root(self) -> str:
         outside = self.options.names("data-file.external-paths")
@@ -405,21 +520,23 @@ class LakeTable:
         files = [i for i in self.fs.walk(folder) if not i.name.startswith(("_", "."))]
         if not files:
             return []
+        if self.has_keys and self.options.number("bucket") > 0:
+            files = self._name_buckets(files)
         sizes = {key_text(i.path): i.size for i in files}
         stored = [f for f in self.schema.fields.fields if write_cols is None or f.name in write_cols]
         physical = T.StructType([*[T.StructField(f.name, f.dataType) for f in stored], T.StructField(SEQ, T.LongType()), T.StructField(KIND, T.ByteType())])
-        df = self.spark.read.format(fmt).schema(physical).load([i.path for i in files])
-        mode = self.options.text("metadata.stats-mode")
+        df = self.spark.read.format(formats[fmt]).schema(physical).load([i.path for i in files])
         lead = set(self.schema.primary_keys) | set(self.schema.partition_keys)
-        kept = [f for f in stored if not is_nested(f.dataType) and not isinstance(f.dataType, T.BinaryType) and (mode != "none" or f.name in lead)]
+        mode = {f.name: "full" if f.name in lead else self.options.given.get(f"fields.{f.name}.stats-mode") or self.options.text("metadata.stats-mode") for f in stored}
+        kept = [f for f in stored if not is_nested(f.dataType) and not isinstance(f.dataType, T.BinaryType) and mode[f.name] != "none"]
         aggs = [F.count("*").alias("n"), F.min(SEQ).alias("s0"), F.max(SEQ).alias("s1"), F.count_if(F.col(KIND).isin(1, 3)).alias("dels")]
         for i, f in enumerate(kept):
             c = F.col(f"`{f.name}`")
             # NaN has no place in an order of bounds: such a file gets none
             nan = F.bool_or(F.isnan(c)) if isinstance(f.dataType, T.FloatType | T.DoubleType) else F.lit(False)
             aggs += [F.count_if(c.isNull()).alias(f"z{i}")]
-            if mode != "counts" or f.name in lead:
-                aggs += [F.when(~F.coalesce(nan, F.lit(False)), F.min(c)).cast("string").alias(f"l{i}"), F.when(~F.coalesce(nan, F.lit(False)), F.max(c)).cast("string").alias(f"h{i}")]
+            if mode[f.name] != "counts":
+                aggs += [P.bound_text(F.when(~F.coalesce(nan, F.lit(False)), agg(c)), f.dataType).alias(f"{side}{i}") for side, agg in (("l", F.min), ("h", F.max))]
         rows = df.groupBy(F.col("_metadata.file_path").alias("at")).agg(*aggs).collect()
         out = []
         for r in rows:
@@ -435,6 +552,20 @@ class LakeTable:
             })
         return sorted(out, key=lambda e: e["key"])
 
+    def _name_buckets(self, files: list[Item]) -> list[Item]:
+        """Give files the bucket in their name, as Spark's bucketed scan wants it."""
+
+        def renamed(i: Item) -> Item:
+            stem, dot, rest = i.name.partition(".")
+            m = re.search(r"bucket\.id=(\d+)/[^/]*$", i.path)
+            path = f"{i.path[: -len(i.name)]}{stem}_{int(m[1]):05d}{dot}{rest}"
+            if not self.fs.rename(i.path, path):
+                raise OSError(f"cannot rename {i.path}")
+            return dataclasses.replace(i, path=path, name=path.rsplit("/", 1)[1])
+
+        with ThreadPoolExecutor(16) as pool:
+            return list(pool.map(renamed, files))
+
     def _partition_of(self, at: str) -> dict[str, str | None]:
         default, out = self.options.text("partition.default-name"), {}
         for k in self.schema.partition_keys:
@@ -448,9 +579,15 @@ class LakeTable:
     ) -> Snapshot | None:
         """Write and commit (``columns``, ``unique``: see ``prepare``). With an ``identifier`` the write of a (user,
         identifier) that is already there does nothing."""
-        if identifier is not None and self._done(user, identifier):
-            return None
-        return self.commit(self.prepare(df, columns, unique=unique), identifier=identifier, user=user, **commit)
+        for left in reversed(range(self.options.number("commit.max-retries") + 1)):
+            if identifier is not None and self._done(user, identifier):
+                return None
+            try:
+                return self.commit(self.prepare(df, columns, unique=unique), identifier=identifier, user=user, **commit)
+            except SequenceConflict:
+                # other records took the numbers: these come after them
+                if not left:
+                    raise
 
     def _done(self, user: str, identifier: int) -> bool:
         last = self.snapshots.last_of_user(user)
@@ -462,7 +599,7 @@ class LakeTable:
     ) -> Snapshot | None:
         """Publish a snapshot; on a race, check for conflicts and try again.
         ``replace`` names the files to delete from the snapshot built upon."""
-        if ignore_empty and not (changes.added or changes.deleted or changes.deletions or changes.indexes is not None or changes.statistics or replace):
+        if ignore_empty and not (changes.added or changes.deleted or changes.deletions or changes.indexes or changes.statistics or replace):
             return None
         if identifier is not None and self._done(user, identifier):
             return None
@@ -477,12 +614,54 @@ class LakeTable:
                 self.fs.delete(f"{self.root}/{m}")
         raise CommitConflict("too many commits at once; gave up")
 
-    def _next_snapshot(self, last, changes: Changes, gone: list[Row], kind, identifier, user, watermark, properties) -> Snapshot:
-        if gone and last is not None:
-            wanted = self.spark.createDataFrame([(g["key"],) for g in gone], "key string")
-            lost = wanted.join(M.live(M.read(self.spark, self.root, last.base + last.delta)), "key", "left_anti").limit(3).collect()
-            if lost:
+    def _check(self, last: Snapshot | None, changes: Changes, gone: list[Row]) -> None:
+        """Fail where the snapshot built upon has not what a commit relies on: files
+        to delete or to mark rows of, ranges of rows whose columns it writes, rows
+        that it rewrites unmarked, and sequence numbers."""
+        base = changes.base
+        if changes.numbered and changes.added and last and last.next_sequence > (base.next_sequence if base else 0):
+            raise SequenceConflict("other records were committed since these were numbered")
+        wanted = {*(g["key"] for g in gone), *changes.marked}
+        spans = {(e["first_row_id"], e["row_count"]) for e in changes.added if e.get("first_row_id") is not None}
+        if not (wanted or spans):
+            return
+        live = M.live(M.read(self.spark, self.root, last.base + last.delta if last else []))
+        if wanted:
+            keys = self.spark.createDataFrame([(k,) for k in wanted], "key string")
+            if lost := keys.join(live, "key", "left_anti").limit(3).collect():
                 raise CommitConflict(f"files are no longer there: {[r['key'] for r in lost]}")
+        if spans:
+            ranges = self.spark.createDataFrame(list(spans), "first_row_id long, row_count long")
+            if lost := ranges.join(live, ["first_row_id", "row_count"], "left_anti").limit(3).collect():
+                raise CommitConflict(f"rows are no longer there: {[tuple(r) for r in lost]}")
+            written = sorted({c for e in changes.added for c in e.get("write_cols") or ()})
+            newer = live.filter((F.col("snapshot_id") > (base.id if base else 0)) & F.arrays_overlap("write_cols", F.array(*map(F.lit, written))))
+            if base is not None and (lost := ranges.join(newer, ["first_row_id", "row_count"], "left_semi").limit(3).collect()):
+                raise CommitConflict(f"columns of these rows were written since: {[tuple(r) for r in lost]}")
+        if base is not None and last is not None and last.id != base.id and gone:
+            known = {d["path"] for d in base.deletions}
+            since = [d for d in last.deletions if d["path"] not in known]
+            if since and (hit := self.files_with_deletions(since) & {g["key"] for g in gone}):
+                raise CommitConflict(f"rows of files to replace were deleted since: {sorted(hit)[:3]}")
+
+    def _live_deletions(self, last: Snapshot | None, made: dict | None, gone: list[Row]) -> list[dict]:
+        """Deletion tables of the next snapshot: without those of files that go, and
+        made one when they are many."""
+        kept = last.deletions if last else []
+        if kept and gone:
+            keys = self.spark.createDataFrame([(g["key"],) for g in gone], "key string")
+            rest = self.deletion_counts(kept).join(keys, "key", "left_anti")
+            if rest.isEmpty():
+                kept = []
+            elif not self.deletion_counts(kept).join(keys, "key", "left_semi").isEmpty():
+                kept = [d for d in [self.write_deletions(self.deleted_rows(kept).join(keys, "key", "left_anti"))[0]] if d]
+        kept = [*kept, *([made] if made else [])]
+        if len(kept) > DELETIONS:
+            kept = [d for d in [self.write_deletions(self.deleted_rows(kept).distinct())[0]] if d]
+        return kept
+
+    def _next_snapshot(self, last, changes: Changes, gone: list[Row], kind, identifier, user, watermark, properties) -> Snapshot:
+        self._check(last, changes, gone)
         number, next_row = (last.id + 1 if last else 1), (last.next_row_id if last else None)
         tracked = self.options.flag("row-tracking.enabled")
         next_row = (next_row or 0) if tracked else None
@@ -505,15 +684,25 @@ class LakeTable:
         marks = [w for w in (watermark, last.watermark if last else None) if w is not None]
         top = max([last.next_sequence if last else 0, *(e["max_sequence"] + 1 for e in added if e.get("max_sequence") is not None)])
         return Snapshot(
-            id=number, schema_id=self.schema.id, base=base, delta=delta, kind=kind, user=user, identifier=identifier if identifier is not None else number,
+            id=number, schema_id=self.schema.id, base=base, delta=delta, kind=kind, user=user, identifier=identifier,
             millis=int(time.time() * 1000), total_rows=(last.total_rows if last else 0) + grown, delta_rows=grown,
-            deletions=[*(last.deletions if last else []), *([changes.deletions] if changes.deletions else [])],
-            indexes=changes.indexes if changes.indexes is not None else last.indexes if last else [],
+            total_bytes=(last.total_bytes if last else 0) + sum(e["size"] for e in added) - sum(g["size"] for g in gone),
+            deletions=self._live_deletions(last, changes.deletions, gone),
+            indexes=[*(i for i in (last.indexes if last else []) if not self._outdated(i, added)), *changes.indexes],
+            users={**(last.users if last else {}), **({user: identifier} if identifier is not None else {})},
             watermark=max(marks) if marks else None, next_row_id=next_row, next_sequence=top, properties=dict(properties or {}),
             # statistics hold until rows change
             statistics=changes.statistics or (last.statistics if last and not entries and not changes.deletions else None),
         )
 
+    def _outdated(self, index: dict, added: list[dict[str, Any]]) -> bool:
+        """Whether an index is over row ids whose column these files write anew."""
+        if index["kind"] not in ROW_INDEXES:
+            return False
+        hit = lambda e: e["first_row_id"] <= index["to"] and e["first_row_id"] + e["row_count"] > index["from"]
+        named = {f.name for f in self.schema.fields.fields if f.metadata["field_id"] == index["field_id"]}
+        return any(named & set(e.get("write_cols") or ()) and hit(e) for e in added)
+
     def compact_manifests(self, names: list[str]) -> str:
         """One manifest with what the named ones leave alive."""
         name = f"manifest/manifest-{uuid.uuid4().hex}"
@@ -542,6 +731,15 @@ class LakeTable:
             raise ValueError("no partitions to drop")
         return self.overwrite(None, partitions, **commit)
 
+    def _again(self, attempt: Callable[[], Snapshot | None]) -> Snapshot | None:
+        """Work out and commit a change anew as long as others get in its way."""
+        for left in reversed(range(self.options.number("commit.max-retries") + 1)):
+            try:
+                return attempt()
+            except CommitConflict:
+                if not left:
+                    raise
+
     def delete_where(self, predicate: P.Predicate, **commit: Any) -> Snapshot | None:
         """Mark matching rows of an append table in deletion vectors."""
         if self.has_keys:
@@ -549,49 +747,94 @@ class LakeTable:
         if self.options.flag("data-evolution.enabled"):
             raise ValueError("deletion vectors do not go with data evolution")
         P.validate(predicate, self.schema.fields)
+
+        def attempt() -> Snapshot | None:
+            if (changes := self.prepare_delete(predicate)) is None:
+                return None
+            return self.commit(changes, **commit)
+
+        return self._again(attempt)
+
+    def prepare_delete(self, predicate: P.Predicate) -> Changes | None:
         plan = self.plan(predicate)
         if not plan.files:
             return None
         where = F.coalesce(P.to_column(predicate, self.schema.fields), F.lit(False))
-        hit = self._positions(plan, where)
-        name = f"index/deletions-{uuid.uuid4().hex}"
-        hit.write.parquet(f"{self.root}/{name}")
-        by_file = self.deleted_rows([{"path": name}]).groupBy("key").count().collect()
-        if not by_file:
-            return None
-        mark = {"path": name, "files": [r["key"] for r in by_file], "rows": sum(r["count"] for r in by_file)}
-        return self.commit(Changes(deletions=mark, schema_id=self.schema.id), **commit)
+        rows = self.positions(plan.files, sorted(P.fields(predicate))).filter(where)
+        if plan.snapshot.deletions:
+            rows = rows.join(self.deleted_rows(plan.snapshot.deletions), ["key", "position"], "left_anti")
+        mark, marked = self.write_deletions(rows)
+        return Changes(deletions=mark, marked=marked, schema_id=self.schema.id, base=plan.snapshot) if mark else None
 
-    def _positions(self, plan: Plan, where: Column) -> DataFrame:
-        """(key, position) of the rows of a plan's files that pass ``where``."""
+    def positions(self, files: list[Row], columns: list[str]) -> DataFrame:
+        """key and position of every row of Parquet files, with columns as the
+        schema of now has them (by field id, cast), and sequence and kind if named."""
         parts = []
-        for sid in sorted({f["schema_id"] for f in plan.files}):
-            old = self.schemas.read(sid)
-            files = [f for f in plan.files if f["schema_id"] == sid]
-            by_id = {f.metadata["field_id"]: f for f in old.fields.fields}
-            df = self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in old.fields.fields])).parquet(*[f["path"] for f in files])
-            now = [(self._evolved(by_id[i], f) if (i := f.metadata["field_id"]) in by_id else F.lit(None).cast(f.dataType)).alias(f.name) for f in self.schema.fields.fields]
-            at = [key_of(F.col("_metadata.file_path")).alias("__key"), F.col("_metadata.row_index").alias("__pos")]
-            parts.append(df.select(*now, *at).filter(where).select(F.col("__key").alias("key"), F.col("__pos").alias("position")))
-        found = functools.reduce(DataFrame.union, parts)
-        if plan.snapshot.deletions:
-            gone = self.deleted_rows(plan.snapshot.deletions)
-            found = found.join(gone, ["key", "position"], "left_anti")
-        return found
+        for sid in sorted({f["schema_id"] for f in files}):
+            old = self.schema_of(sid).fields.fields
+            by_id = {f.metadata["field_id"]: f for f in old}
+            fields = [T.StructField(f.name, f.dataType) for f in old] + [T.StructField(SEQ, T.LongType()), T.StructField(KIND, T.ByteType())]
+            df = self.spark.read.schema(T.StructType(fields)).parquet(*[f["path"] for f in files if f["schema_id"] == sid])
+            at = [key_of(F.col("_metadata.file_path")).alias("key"), F.col("_metadata.row_index").alias("position")]
+            now = [f for f in self.schema.fields.fields if f.name in columns]
+            cols = [(self._evolved(by_id[i], f) if (i := f.metadata["field_id"]) in by_id else F.lit(None).cast(f.dataType)).alias(f.name) for f in now]
+            parts.append(df.select(*at, *cols, *[F.col(c) for c in (SEQ, KIND) if c in columns]))
+        return functools.reduce(DataFrame.unionByName, parts)
 
     def compact(self, partitions: list[dict] | None = None, **commit: Any) -> Snapshot | None:
-        """Rewrite files of the matching partitions merged, at the top level;
-        deletions are applied, so what follows reads them without merging."""
+        """Rewrite files of the matching partitions. With keys: merged, at the top
+        level, so what follows reads them without merging; under deletion vectors
+        only level 0 is rewritten, and the rows that it replaces are marked. Without
+        keys: files short of the target size, or with deleted rows, are packed."""
+        if self.options.flag("row-tracking.enabled"):
+            raise ValueError("compaction would renumber rows under row tracking")
+
+        def attempt() -> Snapshot | None:
+            if (changes := self.prepare_compact(partitions)) is None:
+                return None
+            return self.commit(changes, kind=COMPACT, **commit)
+
+        return self._again(attempt)
+
+    def prepare_compact(self, partitions: list[dict] | None = None) -> Changes | None:
+        if self.marks_old_rows:
+            return self._compact_level_0(partitions)
         plan = self.plan(partitions=partitions)
+        if not self.has_keys:
+            touched = self.files_with_deletions(plan.snapshot.deletions) if plan.snapshot and plan.snapshot.deletions else set()
+            small = self.options.size("target-file-size") * 7 // 10
+            plan.files = [f for f in plan.files if f["size"] < small or f["key"] in touched]
+            if len(plan.files) < 2 and not any(f["key"] in touched for f in plan.files):
+                return None
         if not plan.files:
             return None
-        df = self._rows(plan, None)
-        if self.options.flag("row-tracking.enabled"):
-            raise ValueError("compaction would renumber rows under row tracking")
-        df = df if self.has_keys else df.select(*self.schema.fields.names)
+        df = self.rows_of(plan)
+        if not self.has_keys:
+            df = df.select(*self.schema.fields.names)
+            if self.options.number("bucket") == UNAWARE:
+                df = df.coalesce(-(-sum(f["size"] for f in plan.files) // self.options.size("target-file-size")))
         changes = self.prepare(df, level=5, unique=self.has_keys)
-        changes.deleted = plan.files
-        return self.commit(changes, kind=COMPACT, **commit)
+        return dataclasses.replace(changes, deleted=plan.files, base=plan.snapshot)
+
+    def _compact_level_0(self, partitions: list[dict] | None) -> Changes | None:
+        """Level 0 merged with the older rows of its keys, which are marked."""
+        s = self.snapshots.latest()
+        plan = self.plan(partitions=partitions, every_level=True)
+        new, old = ([f for f in plan.files if (f["level"] == 0) == first] for first in (True, False))
+        if not new:
+            return None
+        keys, spec = self.schema.primary_keys, self.options.merge_spec(self.schema.primary_keys)
+        rows, mark, marked = self.scan_files(new), None, []
+        if old:
+            below = self.positions(old, [*self.schema.fields.names, SEQ, KIND])
+            if s.deletions:
+                below = below.join(self.deleted_rows(s.deletions), ["key", "position"], "left_anti")
+            below = below.join(rows.select(*keys).distinct(), keys, "left_semi")
+            mark, marked = self.write_deletions(below)
+            if mark:
+                rows = rows.unionByName(below.drop("key", "position").select(*rows.columns))
+        changes = self.prepare(merge(rows, spec).select(*[F.col(f"`{n}`") for n in self._all_names()]), level=5, unique=True)
+        return dataclasses.replace(changes, deleted=new, deletions=mark, marked=marked, base=s)
 
     def analyze(self, columns: list[str] | None = None, **commit: Any) -> Snapshot | None:
         """Commit statistics of the rows of now: their number and, by column,
@@ -643,3 +886,42 @@ def key_text(path: str) -> str:
 
 def key_of(path: Column) -> Column:
     return F.regexp_replace(path, r"^.*/data/", "")
+
+
+def register_format(name: str, source: str) -> None:
+    """Make a Spark data source a file format of tables. Row positions, and what
+    needs them, stay with Parquet."""
+    formats[name] = source
+
+
+def partition_text(c: Column, kind: T.DataType) -> Column:
+    """A partition value as text; instants in UTC, whatever the session's zone."""
+    if isinstance(kind, T.TimestampType):
+        seconds = (F.unix_micros(c).cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+        c = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return c.cast("string")
+
+
+#: Bytes of a value before any file shows how many it takes.
+_ROW_BYTES = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4, T.StringType: 20, T.BinaryType: 100, T.ArrayType: 100}
+_WIDTHS = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8}
+
+
+def _widens(a: T.DataType, b: T.DataType) -> bool:
+    return type(a) in _WIDTHS and type(b) in _WIDTHS and _WIDTHS[type(a)] <= _WIDTHS[type(b)]
+
+
+def bucketed(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """A scan whose files have their bucket in the name, told to Spark: it reads a
+    bucket in one task and knows that keys do not cross buckets, so that a merge by
+    key needs no shuffle. Spark's hash of the keys is the one that rows were dealt by."""
+    spark = df.sparkSession
+    jvm, scan = spark._jvm, df._jdf.queryExecution().analyzed()
+    relation = scan.relation()
+    names = jvm.PythonUtils.toSeq(keys)
+    spec = jvm.org.apache.spark.sql.catalyst.catalog.BucketSpec(n, names, jvm.PythonUtils.toSeq([]))
+    told = relation.copy(
+        relation.location(), relation.partitionSchema(), relation.dataSchema(), jvm.scala.Option.apply(spec), relation.fileFormat(), relation.options(), relation.sparkSession()
+    )
+    plan = scan.copy(told, scan.output(), scan.catalogTable(), scan.isStreaming(), scan.stream())
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
