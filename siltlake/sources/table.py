@@ -128,8 +128,6 @@ class LakeTable:
 
     def schema_of(self, version: int) -> TableSchema:
         """A schema by its number; schema files never change."""
-        if version == self.schema.id:
-            return self.schema
         if version not in self._old:
             self._old[version] = self.schemas.read(version)
         return self._old[version]
