@@ -229,9 +229,9 @@ def test_dual_trees_prune_and_agree():
     rng = np.random.default_rng(9)
     x = np.floor(256 * (rng.normal(size=(3000, 4)) + 6 * rng.integers(0, 4, (3000, 1)))).astype(np.int64)
     q = x[:60]
-    search = topk.DualSearch(np.arange(60), q, np.full(60, -np.inf), np.arange(3000), x)
+    search = topk.DualSearch(np.arange(60), np.arange(60), q, np.full(60, -np.inf), topk.Candidates(np.arange(3000), np.arange(3000), x))
     got = {}
-    for a, b, s in zip(*search.run(), strict=True):
+    for _, a, b, s in zip(*search.run(), strict=True):
         got.setdefault(int(a), []).append((-int(s), int(b)))
     for i in range(60):
         s = x @ q[i]
