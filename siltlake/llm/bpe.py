@@ -2,7 +2,8 @@
 
 A rolling hash over the code points cuts texts into chunks where their content
 says so, hence passages that documents share give equal chunks wherever they
-stand. A worker encodes each distinct chunk once (within a bounded memory). A
+stand. A worker encodes each distinct chunk once (within a bounded memory); chunks are
+not exchanged between workers. A
 cut may fall inside a pretoken, so each join is repaired: from the last pretoken
 before the cut the text is encoded anew until a pretoken begins at the same
 place in both readings; from there on both agree exactly, since the pretoken rule

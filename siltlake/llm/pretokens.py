@@ -16,19 +16,23 @@ import numpy as np
 
 #: Code points handled at a time; bounds the working arrays.
 BLOCK = 1 << 20
-#: Pretokens remembered by a worker before it starts afresh.
+#: Pretokens, and code points of them, that a worker remembers before it starts afresh.
 MAX_KNOWN = 1_000_000
+MAX_POINTS = 32_000_000
 TABLE_BITS = 22
-#: Pretokens past this many code points are looked up by their text.
-LONG = 48
+#: Pretokens of so many ASCII characters or fewer are their own keys: numbers to the
+#: base 129, below 2**57. Keys of others have the highest bit set. Up to twice as many
+#: characters are told apart by the key and the number of the first ones, as the base
+#: is odd and the rest follows from both; past that, by their code points.
+SHORT, BASE = 8, 129
+_HASHED, _NONE = np.uint64(1 << 63), np.uint64((1 << 64) - 1)
 _LETTER, _NUMBER, _OTHER, _SPACE, _NEW = 0, 1, 2, 3, 255
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_MULTIPLIER, -1, 1 << 64)
     out = []
-    for base in (_MULTIPLIER, inverse):
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
         steps = np.full(BLOCK + 1, base, np.uint64)
         steps[0] = 1
         with np.errstate(over="ignore"):
@@ -36,10 +40,10 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _mixed(cp: np.ndarray) -> np.ndarray:
-    x = cp.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
@@ -78,6 +82,19 @@ class KeyTable:
             slot[open_] = (slot[open_] + 1) & self.mask
 
 
+class Pool:
+    """A growing array."""
+
+    def __init__(self, kind: type):
+        self.held, self.size = np.zeros(1 << 16, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.size + len(x) > len(self.held):
+            self.held = np.concatenate([self.held[: self.size], np.zeros(max(len(self.held), len(x)), self.held.dtype)])
+        self.held[self.size : self.size + len(x)] = x
+        self.size += len(x)
+
+
 class Encoder:
     """Encodes texts exactly as ``Tokenizer.encode(add_special_tokens=False)``."""
 
@@ -92,13 +109,18 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.kinds = np.full(0x110000, _NEW, np.uint8)
-        self.codes = np.zeros(0x110000, np.uint64)
+        # ASCII stands for itself, so that short pretokens are numbers
+        self.codes = np.arange(0x110000, dtype=np.uint64)
+        self.codes[128:] = _mixed(self.codes[128:] + np.uint64(0x632BE59BD9B4E019))
         self.up, self.down = _powers()
         self._forget()
         self._bytes: list[bytes] | None = None
 
     def _forget(self) -> None:
         self.place = KeyTable(TABLE_BITS)
+        # code points of the known pretokens, and where each one's end
+        self.points, self.until = Pool(np.uint32), np.zeros(1, np.int64)
+        self.heads = Pool(np.uint64)
         self.offset = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
@@ -108,7 +130,6 @@ class Encoder:
         for c in np.unique(cp).tolist():
             ch = chr(c)
             self.kinds[c] = _LETTER if cut("a" + ch) == 1 else _NUMBER if cut("1" + ch) == 1 else _OTHER if cut("!" + ch) == 1 else _SPACE
-            self.codes[c] = _mixed(np.array([c]))[0]
 
     def starts(self, cp: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Mask of the pretokens' first code points; ``first`` marks where texts begin."""
@@ -156,21 +177,44 @@ class Encoder:
     def _ids_of(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lookup(self, keys: np.ndarray, begin: np.ndarray, end: np.ndarray, text: str) -> np.ndarray:
-        """Index into offset and length for each pretoken."""
-        keys = np.maximum(keys, np.uint64(1))
+    def _learn(self, begin: np.ndarray, end: np.ndarray, heads: np.ndarray, cp: np.ndarray, text: str) -> int:
+        """Let the library encode pretokens; the number of the first of them."""
+        first, at, stop = len(self.length), begin.tolist(), end.tolist()
+        ids = self._ids_of([text[a:b] for a, b in zip(at, stop, strict=True)])
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(lengths.sum()))
+        self.offset = np.concatenate([self.offset, len(self.pool) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.pool = np.concatenate([self.pool, flat])
+        self.points.add(np.concatenate([cp[a:b] for a, b in zip(at, stop, strict=True)]))
+        self.heads.add(heads)
+        self.until = np.concatenate([self.until, self.until[-1] + np.cumsum(end - begin)])
+        return first
+
+    def _lookup(self, keys, begin, end, heads, headed: np.ndarray, others: np.ndarray, cp: np.ndarray, text: str) -> np.ndarray:
+        """Index into offset and length for each pretoken. A hashed key finds what may
+        be it; then its head (``headed``) or its code points (``others``) decide, and a
+        pretoken whose key is another's is read anew."""
         got = self.place.find(keys)
         if len(missing := np.flatnonzero(got < 0)):
             new, sample, which = np.unique(keys[missing], return_index=True, return_inverse=True)
             sample = missing[sample]
-            ids = self._ids_of([text[a:b] for a, b in zip(begin[sample].tolist(), end[sample].tolist(), strict=True)])
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.place.add(new, len(self.length))
-            got[missing] = len(self.length) + which
-            flat = np.fromiter((x for y in ids for x in y), np.uint32, int(lengths.sum()))
-            self.offset = np.concatenate([self.offset, len(self.pool) + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.pool = np.concatenate([self.pool, flat])
+            first = self._learn(begin[sample], end[sample], heads[sample], cp, text)
+            self.place.add(new, first)
+            got[missing] = first + which
+        wrong = []
+        if len(some := headed):
+            n = got[some]
+            wrong.append(some[(self.heads.held[n] != heads[some]) | (self.until[n + 1] - self.until[n] != end[some] - begin[some])])
+        if len(some := others):
+            first, size, known = begin[some], (end - begin)[some], self.until[got[some]]
+            same = self.until[got[some] + 1] - known == size
+            stop = np.cumsum(size)
+            at = np.arange(stop[-1]) + np.repeat(first - (stop - size), size)
+            like = cp[at] == self.points.held[np.minimum(at + np.repeat(known - first, size), self.points.size - 1)]
+            wrong.append(some[~(same & np.logical_and.reduceat(like, stop - size))])
+        if len(again := np.concatenate([*wrong, np.zeros(0, np.int64)]).astype(np.int64)):
+            got[again] = self._learn(begin[again], end[again], heads[again], cp, text) + np.arange(len(again))
         return got
 
     def _block(self, texts: Sequence[str], parts: bool = False) -> tuple:
@@ -187,14 +231,22 @@ class Encoder:
         first[(ends - sizes)[sizes > 0]] = True
         begin = np.flatnonzero(self.starts(cp, first))
         end = np.append(begin[1:], len(cp))
+        size = end - begin
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(cp) + 1, np.uint64)
+            np.cumsum(self.codes[cp] * self.up[: len(cp)], out=total[1:])
+            keys = (total[end] - total[begin]) * self.down[begin]
+        odd = np.zeros(len(begin), bool)
+        odd[np.searchsorted(begin, np.flatnonzero(cp - np.uint32(1) >= 127), side="right") - 1] = True
+        hashed, heads = np.flatnonzero(odd | (size > SHORT)), np.full(len(begin), _NONE)
+        headed = (size[hashed] <= 2 * SHORT) & ~odd[hashed]
         with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.codes[cp] * self.up[: len(cp)])])
-            keys = (total[end] - total[begin]) * self.down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        for i in np.flatnonzero(end - begin > LONG).tolist():
-            keys[i] = hash(("long", text[begin[i] : end[i]])) & 0xFFFFFFFFFFFFFFFF
-        if len(self.length) > MAX_KNOWN:
+            keys[hashed] = _mixed(keys[hashed] + size[hashed].astype(np.uint64)) | _HASHED
+            first = begin[hashed[headed]]
+            heads[hashed[headed]] = (total[first + SHORT] - total[first]) * self.down[first]
+        if len(self.length) > MAX_KNOWN or self.points.size > MAX_POINTS:
             self._forget()
-        at = self._lookup(keys, begin, end, text)
+        at = self._lookup(keys, begin, end, heads, hashed[headed], hashed[~headed], cp, text)
         lengths = self.length[at]
         stop = np.cumsum(lengths)
         ids = self.pool[np.arange(stop[-1]) + np.repeat(self.offset[at] - (stop - lengths), lengths)]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from siltlake.llm import bpe, rans, tokenfile
+from siltlake.llm import bpe, pretokens, rans, tokenfile
 from siltlake.llm.pretokens import Encoder, KeyTable
 
 ALPHABET = "ab  \n\t'sStredvelm1 2²½,.!'’ñßé\u00a0\u2003你好😀\u0301"
@@ -119,3 +119,17 @@ def test_token_files_over_many_frames(spark, docs, vocabulary, tmp_path, monkeyp
     got = sorted(tokenfile.read_tokens(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
     assert [r.doc_id or 0 for r in got] == sorted(r.doc_id or 0 for r in got)
+
+
+def test_pretokens_of_one_key_are_told_apart(vocabulary, monkeypatch):
+    """With keys that agree for most pretokens, ids are still the library's."""
+    texts = ["wonderful wonderfully wondering extraordinarily extraordinary über Überraschung naïve naïvely 你好世界 你好 internationalisation internationalization"] * 3
+    enc = pretokens.Encoder(vocabulary)
+    monkeypatch.setattr(pretokens, "_mixed", lambda x: x % np.uint64(3))
+    got = [ids.tolist() for ids in enc.encode(texts) + enc.encode(texts)]
+    assert got == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts * 2]
+
+
+def test_codes_of_short_pretokens_are_numbers(vocabulary):
+    enc = pretokens.Encoder(vocabulary)
+    assert (enc.codes[:128] == np.arange(128)).all() and pretokens.BASE**pretokens.SHORT < 1 << 57
