@@ -25,7 +25,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextlib.contextmanager
-def _tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Drop the shuffle files of the queries inside as each of them ends."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -40,7 +41,7 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     deletes it when nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with _tidy_shuffles(spark):
+    with tidy_shuffles(spark):
         df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.staged_at = path

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
-from .common import keep_least, staged, text_digest
+from .common import keep_least, release, staged, text_digest
 from .components import components
 
 BITS, SHINGLE, SEED, DISTANCE, SEGMENTS = 64, 3, 42, 2, 5
@@ -116,7 +116,7 @@ def bucket_rows(fps: DataFrame, distance: int = DISTANCE, m: int = SEGMENTS, buc
     hot = staged(rows.groupBy("start", "key").count().filter(F.col("count") > bucket).select("start", "key"), "simhash-hot")
     plain = F.lit(-1).alias("part")
     if hot.isEmpty():
-        return rows.select("start", plain, "key", "fp")
+        return _staged_in(rows.select("start", plain, "key", "fp"), rows, hot)
     # the chain up to the last with a budget of one or none, one of its later bits left out
     longest = max(n for n in range(1, m + 1) if n * distance // m <= 1)
     ring, out = segments(m), []
@@ -127,7 +127,13 @@ def bucket_rows(fps: DataFrame, distance: int = DISTANCE, m: int = SEGMENTS, buc
         out.append(F.when(F.col("start") == i, F.array(*longer)))
     cold = rows.join(hot, ["start", "key"], "left_anti").select("start", plain, "key", "fp")
     warm = rows.join(hot, ["start", "key"], "left_semi").select("start", F.explode(F.coalesce(*out)).alias("k"), "fp")
-    return cold.union(warm.select("start", "k.part", "k.key", "fp"))
+    return _staged_in(cold.union(warm.select("start", "k.part", "k.key", "fp")), rows, hot)
+
+
+def _staged_in(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df`` with the staged tables that it reads, to be released after it."""
+    df.staged_tables = tables
+    return df
 
 
 def links(x: np.ndarray, chain: list[tuple[int, int]], distance: int, block: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -210,12 +216,14 @@ def groups(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", te
     links) and component_id (the smallest id reachable) of every row."""
     rows = staged(fingerprints(docs, id_col, text_col, *more), "fingerprints")
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    edges = link_edges(bucket_rows(fps.select("fp"), distance), distance)
-    found = components(edges)
+    buckets = bucket_rows(fps.select("fp"), distance)
+    found = components(link_edges(buckets, distance))
+    release(*buckets.staged_tables)
     named = fps.join(found, fps["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("component"), "least")
     named = staged(named, "named")
     label = named.groupBy("component").agg(F.min("least").alias("component_id"))
     label = staged(named.select("fp", "component").join(label, "component").select("fp", "component", "component_id"), "labels")
+    release(fps, named)
     return rows.join(label, "fp")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .bpe import small_batches
-from .common import staged
+from .common import release, staged, tidy_shuffles
 from .pretokens import encoder
 
 END_ID = 0
@@ -126,7 +126,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, **how) -> None:
 
     placed = tokens.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids")
     frames = placed.mapInArrow(code, f"part int, frame int, doc_ids array<{id_type}>, doc_tokens array<long>, n_tokens long, payload binary")
-    frames.write.option("compression", "uncompressed").parquet(f"{path}/frames")
+    with tidy_shuffles(spark):
+        frames.write.option("compression", "uncompressed").parquet(f"{path}/frames")
+    release(tokens)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
