@@ -70,12 +70,25 @@ def frequency_table(tokens: DataFrame) -> rans.FrequencyTable:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, total = pa.Codec("zstd"), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def added() -> np.ndarray:
+            # many documents at once, as each count is as long as the vocabulary
+            got = np.bincount(np.concatenate(held))
+            held.clear()
+            short, long = sorted((got, total), key=len)
+            long[: len(short)] += short
+            return long
+
+        size = 0
         for b in batches:
             for packed, n in zip(b.column("ids").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
-                got = np.bincount(_unpacked(packed, n, codec))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
+                held.append(_unpacked(packed, n, codec))
+                size += n
+                if size >= FRAME:
+                    total, size = added(), 0
+        if held:
+            total = added()
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["symbol", "n"])
 
