@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, hash_unit, id_text, staged
+from .common import count_words, hash_unit, id_text, release, staged
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -29,34 +29,32 @@ BROADCAST_SOURCES = 100_000
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share_percent: int = SHARE_PERCENT, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """From (source, size) rows: source, source_size, target, rate.
 
-    Water filling: a target is min(cap, level * weight). With sources ordered by
-    cap / weight, the level is what remains over the weights that remain at the
-    first source whose cap it does not pass.
+    Water filling: a target is min(cap, level * weight). The level starts as if no
+    source stopped at its cap and rises as the excess of those that do is shared anew,
+    until no further one stops. Sources are ranked by range and counted by
+    aggregates, so that no task need hold them all.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    cap = F.lit(float(max_repeats)) * F.col("source_size")
-    w = per.withColumn("n", F.row_number().over(order) - 1).select(
-        "source",
-        "source_size",
-        F.get(F.array(*[F.lit(float(x)) for x in weights]), F.col("n") % len(weights)).alias("w"),
-        cap.alias("cap"),
-    )
-    every = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = every.rowsBetween(Window.unboundedPreceding, -1)
-    rest = every.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    total = F.sum("source_size").over(whole) * share_percent / F.lit(100.0)
-    leveled = w.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest))
-    fits = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))
-    level = F.coalesce(F.first(fits, ignorenulls=True).over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(float("inf")))
-    target = F.least(F.col("cap"), level * F.col("w"))
-    return leveled.select(
-        "source",
-        "source_size",
-        F.when(F.col("source_size") > 0, target).otherwise(0.0).alias("target"),
-        F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"),
-    )
+    ranged = staged(per.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()), "mix-sources")
+    counts = sorted((r["range"], r["count"]) for r in ranged.groupBy("range").count().collect())
+    starts = [(k, sum(n for j, n in counts if j < k)) for k, _ in counts]
+    starts = F.broadcast(ranged.sparkSession.createDataFrame(starts, "range int, start long"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
+    weight = F.get(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("start") + F.col("n")) % len(weights)).cast("int"))
+    w = ranged.withColumn("n", place).join(starts, "range").select("source", "source_size", weight.alias("w"), (F.lit(float(max_repeats)) * F.col("source_size")).alias("cap"))
+    w = staged(w, "mix-weights")
+    release(ranged)
+    first = w.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    total, level = (first["size"] or 0) * share_percent / 100.0, None
+    new = total / first["w"] if first["w"] else float("inf")
+    while new != level:
+        level = new
+        stops = F.col("cap") < F.lit(level) * F.col("w")
+        got = w.agg(F.sum(F.when(stops, F.col("cap"))).alias("cap"), F.sum(F.when(~stops, F.col("w"))).alias("w")).first()
+        new = (total - (got["cap"] or 0.0)) / got["w"] if got["w"] else float("inf")
+    target = F.least(F.col("cap"), F.lit(level) * F.col("w"))
+    some = F.col("source_size") > 0
+    return w.select("source", "source_size", F.when(some, target).otherwise(0.0).alias("target"), F.when(some, target / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
 def copies(rate: Column, key: Column, seed: str) -> Column:
