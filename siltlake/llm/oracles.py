@@ -9,14 +9,14 @@ from .urlfilter import DEFAULT
 ORACLES: dict[str, str] = {}
 
 ORACLES["op1_cover_tree_topk"] = """
-with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+with v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
   where embedding is not null and vec_id is not null
     and not list_contains(list_transform(embedding, lambda x: x is null or isnan(x) or isinf(x)), true)),
 s as (
-  select q.vec_id as query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::bigint as score
-  from v q join v x on q.vec_id % 50 = 0 and x.vec_id <> q.vec_id),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+  select q.r, q.vec_id as query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v x on q.vec_id % 50 = 0 and x.r <> q.r),
+r as (select *, row_number() over (partition by r order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
@@ -102,7 +102,7 @@ j as (
   from j where j < n),
 p as (select r, n, max(b)::int as shard from j group by r, n),
 q as (
-  select c.*, a.shard, g.shard as grown_shard, (('0x' || substr(m, 25, 8))::bigint % {SUB_BUCKETS}) as part
+  select c.*, a.shard, g.shard as grown_shard, ((('0x' || substr(m, 25, 8))::bigint + c.crc) % {SUB_BUCKETS}) as part
   from c join p a on a.r = c.r and a.n = {SHARDS} join p g on g.r = c.r and g.n = {SHARDS + 1})
 select doc_id, (bytes + 8)::bigint as size, crc::bigint as text_crc32, 'key' as law, shard,
   (row_number() over (partition by shard order by part, doc_id nulls first, crc, bytes) - 1)::bigint as slot, grown_shard
@@ -118,7 +118,7 @@ h as (
 r(verdict, host, path) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
   ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 m as (
-  select h.n, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(verdict, length(r.host || r.path)) as verdict
+  select h.n, arg_max(r.host || r.path, 100000 * length(r.host) + length(r.path)) as rule, arg_max(verdict, 100000 * length(r.host) + length(r.path)) as verdict
   from h join r on (h.host = r.host or ends_with(h.host, '.' || r.host)) and starts_with(h.path, r.path) group by h.n)
 select page_id, host, path, rule, coalesce(verdict, '{DEFAULT}') as verdict from h left join m using (n)
 """

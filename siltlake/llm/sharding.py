@@ -55,7 +55,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, sub_buckets: int = SUB_BUCKETS,
     """doc_id, size, text_crc32, shard, grown_shard and slot (gapless in a shard).
 
     Numbering is two-level: rows are numbered inside (shard, part), parts get
-    offsets from their counts, so no shard is gathered in one task.
+    offsets from their counts, so no shard is gathered in one task. A part follows
+    from the id and the text, so rows that share an id are spread too.
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     key = key_hash(id_text(F.col(id_col)))
@@ -65,7 +66,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, sub_buckets: int = SUB_BUCKETS,
             F.md5(id_text(F.col(id_col))).alias("digest"), key.alias("key"),
         ).select(
             "doc_id", "size", "text_crc32", jump(F.col("key"), shards).alias("shard"), jump(F.col("key"), shards + 1).alias("grown_shard"),
-            F.pmod(F.conv(F.substring("digest", 25, 8), 16, 10).cast("long"), F.lit(sub_buckets)).cast("int").alias("part"),
+            F.pmod(F.conv(F.substring("digest", 25, 8), 16, 10).cast("long") + F.col("text_crc32"), F.lit(sub_buckets)).cast("int").alias("part"),
         ),
         "shards",
     )
@@ -81,8 +82,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, sub_buckets: int = SUB_BUCKETS,
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", files_per_shard: int = 8) -> None:
-    """Write whole rows under ``path`` in one folder per shard (``shard=N``)."""
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 256 << 20) -> None:
+    """Write whole rows under ``path`` in one folder per shard (``shard=N``), in files
+    of about ``file_bytes`` of text: their number follows from the texts' bytes."""
+    size = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("n")).first()["n"] or 0
     placed = docs.withColumn("shard", jump(key_hash(id_text(F.col(id_col))), shards))
-    spread = F.pmod(F.xxhash64(F.col(id_col)), F.lit(files_per_shard))
+    spread = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(max(1, -(-size // (shards * file_bytes)))))
     placed.repartition("shard", spread).write.partitionBy("shard").parquet(path)
