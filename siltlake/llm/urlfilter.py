@@ -28,8 +28,9 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DEFAULT = "allow"
-#: More rules than this are refused: they would not fit a broadcast.
-MAX_RULES = 5_000_000
+#: More rules, or characters of them, than this are refused: a trie takes about a
+#: kilobyte a rule in each worker.
+MAX_RULES, MAX_CHARACTERS = 200_000, 32_000_000
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _END_HOST, _END_PATH = re.compile(r"[/?#]"), re.compile(r"[?#]")
 
@@ -51,6 +52,8 @@ class PathNode:
 
     next: dict[str, PathNode] = field(default_factory=dict)
     ends: dict[str, tuple[str, str]] = field(default_factory=dict)
+    #: lengths of the fragments, longest first: a URL is looked up once for each
+    sizes: list[int] = field(default_factory=list)
 
 
 @dataclass
@@ -77,6 +80,8 @@ class UrlTrie:
             here = here.next.setdefault(segment, PathNode())
         if fragment not in here.ends or verdict == "block":
             here.ends[fragment] = (f"{host.translate(_LOWER)}{path}", verdict)
+            if len(fragment) not in here.sizes:
+                here.sizes = sorted([*here.sizes, len(fragment)], reverse=True)
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest rule that fits, else None."""
@@ -97,9 +102,8 @@ class UrlTrie:
         best, at = None, 0
         while True:
             if here.ends:
-                rest = path[at:]
-                longest = max((e for e in here.ends if rest.startswith(e)), key=len, default=None)
-                best = best if longest is None else here.ends[longest]
+                left = len(path) - at
+                best = next((e for n in here.sizes if n <= left and (e := here.ends.get(path[at : at + n]))), best)
             cut = path.find("/", at)
             if cut < 0 or (step := here.next.get(path[at:cut])) is None:
                 return best
@@ -108,8 +112,8 @@ class UrlTrie:
 
 def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, default: str = DEFAULT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule (null if none fits) and verdict."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules exceed the broadcast bound of {MAX_RULES}")
+    if len(rules) > MAX_RULES or sum(len(h) + len(p) for _, h, p in rules) > MAX_CHARACTERS:
+        raise ValueError(f"{len(rules)} rules exceed the broadcast bound of {MAX_RULES} rules and {MAX_CHARACTERS} characters")
     spark = pages.sparkSession
     shared = spark.sparkContext.broadcast(UrlTrie(rules))
 
