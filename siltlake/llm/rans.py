@@ -6,6 +6,10 @@ go to one stream; a checkpoint every EVERY steps keeps the lanes' states and the
 place in the stream, so that parts of a block decode side by side. Blocks are
 independent and carry checksums of their words and of their ids. All coding is
 done on arrays: many blocks and lanes at each step.
+
+Defined results: no ids make a block of none; a symbol that the table has not is
+refused; a table of one symbol codes it in no bits; damage in a block's words, ids
+or head is found by its checksums and raises an error.
 """
 
 from __future__ import annotations
