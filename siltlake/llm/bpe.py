@@ -32,11 +32,11 @@ WINDOW, CUT_ONE_IN = 24, 768
 #: Cuts nearer than this to the one before are passed over.
 SHORTEST = 96
 #: Code points of chunks that a worker remembers, in each of two generations.
-REMEMBERED = 12_000_000
+REMEMBERED = 3_000_000
 #: Code points past a join that are read first, then next.
 HEADS = (40, 600)
 #: Rows that a worker turns at a time, in code points.
-BATCH = 4_000_000
+BATCH = 2_000_000
 
 
 def cuts(enc: Encoder, texts: Sequence[str]) -> list[list[int]]:
