@@ -231,6 +231,8 @@ def bpe(docs: DataFrame, vocabulary: str, outputs: Sequence[str] = ("n_tokens",
                     to.append(OUTPUTS[name][1](ids, text))
             arrays = [pa.array(m, OUTPUTS[n][0]) for m, n in zip(made, outputs, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], names=["doc_id", *outputs])
+        # idle workers keep their tables, not their batches
+        pa.default_memory_pool().release_unused()
 
     schema = f"doc_id {kind}, " + ", ".join(f"{n} {_SQL[OUTPUTS[n][0]]}" for n in outputs)
     return rows.mapInArrow(run, schema)

@@ -17,9 +17,9 @@ import numpy as np
 #: Code points handled at a time; bounds the working arrays.
 BLOCK = 1 << 19
 #: Pretokens, and code points of them, that a worker remembers before it starts afresh.
-MAX_KNOWN = 500_000
+MAX_KNOWN = 1_000_000
 MAX_POINTS = 16_000_000
-TABLE_BITS = 21
+TABLE_BITS = 22
 #: Pretokens of so many ASCII characters or fewer are their own keys: numbers to the
 #: base 129, below 2**57. Keys of others have the highest bit set. Up to twice as many
 #: characters are told apart by the key and the number of the first ones, as the base
