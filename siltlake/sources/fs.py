@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from dataclasses import dataclass
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -39,7 +42,7 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """Write or replace; not atomic, for files that nobody reads yet and hints."""
+        """Write or replace; not atomic, for files that nobody reads yet."""
         fs, p = self._at(path)
         out = fs.create(p, True)
         try:
@@ -47,6 +50,24 @@ class Files:
         finally:
             out.close()
 
+    def write_hint(self, path: str, text: str) -> None:
+        """Write or replace a hint, which many may write and read at a time."""
+        if self._at(path)[0].getScheme() != "file":
+            self.write(path, text)
+            return
+        # without the checksum file, which would be replaced apart from its file
+        at = Path(self._local(path))
+        tmp = at.with_name(f".{at.name}.{uuid.uuid4().hex}")
+        tmp.write_text(text)
+        at.with_name(f".{at.name}.crc").unlink(missing_ok=True)
+        tmp.replace(at)
+
+    def read_hint(self, path: str) -> str | None:
+        """The text of a hint, None if there is none or it is just being written."""
+        with contextlib.suppress(Py4JJavaError):
+            return self.read(path) if self.exists(path) else None
+        return None
+
     def publish(self, path: str, text: str) -> bool:
         """Create the file with all of its text, or return False if it exists."""
         tmp = f"{path.rsplit('/', 1)[0]}/.{path.rsplit('/', 1)[1]}.{uuid.uuid4().hex}"

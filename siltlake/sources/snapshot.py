@@ -58,17 +58,13 @@ class Snapshots:
         return Snapshot.from_json(self.files.read(self.path(n)))
 
     def latest_id(self) -> int | None:
-        hint = f"{self.dir}/LATEST"
-        if self.files.exists(hint):
-            try:
-                n = int(self.files.read(hint))
-            except ValueError:
-                n = 0
-            # a hint may lag behind, or be of a time before an expiry
-            if n and self.files.exists(self.path(n)):
-                while self.files.exists(self.path(n + 1)):
-                    n += 1
-                return n
+        hint = self.files.read_hint(f"{self.dir}/LATEST") or ""
+        n = int(hint) if hint.isdecimal() else 0
+        # a hint may lag behind, or be of a time before an expiry
+        if n and self.files.exists(self.path(n)):
+            while self.files.exists(self.path(n + 1)):
+                n += 1
+            return n
         ids = self.ids()
         return ids[-1] if ids else None
 
@@ -84,7 +80,7 @@ class Snapshots:
         self.files.mkdirs(self.dir)
         if not self.files.publish(self.path(s.id), s.to_json()):
             return False
-        self.files.write(f"{self.dir}/LATEST", str(s.id))
+        self.files.write_hint(f"{self.dir}/LATEST", str(s.id))
         return True
 
     def at_or_before(self, millis: int) -> Snapshot | None:

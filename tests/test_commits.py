@@ -1,6 +1,7 @@
 """Races between commits, plans without needless work, and indexes across schemas."""
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -24,6 +25,24 @@ def rows(spark):
     return spark.range(30).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"), (F.col("id") % 3).cast("int").alias("p"))
 
 
+def test_a_hint_being_written_or_broken_hides_nothing(spark, tmp_path, rows):
+    t = make(spark, tmp_path / "t", rows, [rows.filter("k < 10"), rows.filter("k >= 10")])
+    hint = tmp_path / "t" / "snapshot" / "LATEST"
+    for text in ("", "1", "99", "not a number"):
+        # by the file system this leaves a checksum, which then fits no more
+        t.snapshots.files.write(str(hint), "2")
+        hint.write_text(text)
+        assert t.snapshots.latest_id() == 2 and ks(t.read()) == list(range(30))
+    assert t.snapshots.files.read_hint(str(hint)) is None
+    hint.unlink()
+    assert t.snapshots.latest_id() == 2
+    with ThreadPoolExecutor(8) as pool:
+        jobs = [pool.submit(t.snapshots.files.write_hint, str(hint), str(1 + n % 2)) for n in range(200)]
+        assert {t.snapshots.latest_id() for _ in range(100)} == {2}
+        [j.result() for j in jobs]
+    assert hint.read_text() in "12" and not [f for f in hint.parent.iterdir() if f.name.startswith(".LATEST")]
+
+
 def test_late_deletions_and_compactions_are_refused_or_redone(spark, tmp_path, rows):
     t = make(spark, tmp_path / "t", rows, [rows.filter("k < 10"), rows.filter("k >= 10")])
     late = t.prepare_delete(P.less_than("k", 5))
