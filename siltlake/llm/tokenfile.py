@@ -51,7 +51,6 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str
             packed = [codec.compress(_planes(x), asbytes=True) for x in ids]
             sizes = pa.array([len(x) for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), sizes, pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
-        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 
