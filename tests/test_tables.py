@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from siltlake.functions import predicate as P
 from siltlake.operators import evolution, index, maintenance
 from siltlake.operators.merge import KIND, ROW_ID
+from siltlake.plans import catalogue
 from siltlake.session import ensure_importable
 from siltlake.sources.catalog import Catalog
 from siltlake.sources.schema import TableSchema
@@ -279,3 +280,14 @@ def test_vector_search(spark):
     assert len(index.vector_topk(df, "e", [1.0, 0.0], 2, "cosine", None, "id").collect()) == 2
     with pytest.raises(ValueError):
         index.vector_topk(df, "e", [1.0], 1, "l9")
+
+
+@pytest.mark.parametrize("rows, wide", [(0, 1), (1, 1), (3000, 1), (4000, 600)])
+def test_rolled_files_are_packed_to_as_many_as_they_fill(spark, tmp_path, rows, wide):
+    """None, one, and, of 80 MB, more than one file of 64 MB."""
+    noise = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(wide)), lambda i: F.sha2(F.concat_ws(":", "id", i), 256)))
+    orders = spark.range(rows).select(F.col("id").alias("o_orderkey"), noise.alias("o_orderpriority"))
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.QUERIES["rolling_files"](spark, str(tmp_path))
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*orders.columns).cast("decimal(38,0)"))).first()
+    assert got.columns == orders.columns and digest(got) == digest(orders)
