@@ -1,8 +1,10 @@
 """SimHash near-dedup at a similarity: texts whose sets of five-word shingles have
 a Jaccard similarity of 0.8 or more, found exactly.
 
-A 64-bit SimHash cannot do this: such pairs differ in up to two dozen bits, where
-no index key is left. So sets keep a longer fingerprint of their own, a parity
+First comes the method of op6 on five words: 64-bit SimHashes of the sets, the
+pigeonring index over them at two bits, and star contraction of what whole sets
+confirm. A 64-bit SimHash cannot find the rest: such pairs differ in up to two dozen
+bits, where no index key is left. So sets keep a longer fingerprint besides, a parity
 sketch: bit i tells whether an odd number of the set's shingles hash to i. Sets
 that differ in d shingles differ in at most d bits, and similar sets of x and y
 shingles differ in at most (x + y) / 9 shingles, so the filter loses no link. As
@@ -15,8 +17,9 @@ Candidates share a key. Shingles are ordered by their number in a bounded sample
 of documents, rare ones first; the order decides the cost, never the result. Of n
 shingles the first n - ceil(0.8 n) + 1 are a set's keys: two sets that are similar
 enough share one. Equal sets are joined first, so copies cost one row. Each key's
-sets are compared with the one whose keys are shared most, and what that links is
-contracted; then the sets under a key that are not of one component yet.
+sets are compared with the one whose keys are shared most, unless the SimHashes have
+linked the two, and what that links is contracted; then the sets under a key that are
+not of one component yet.
 
 Defined results: null and empty texts, and those of white space, are copies of
 each other; shorter texts have one shingle; shingles and sets are told apart by
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 from .bpe import small_batches
 from .common import keep_least, release, staged, text_digest
 from .components import components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, bucket_rows, fingerprint, link_edges, shingle_hashes
 
 #: Words of a shingle, and the similarity as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
@@ -59,7 +62,10 @@ def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
 
 def set_number(shingles: np.ndarray) -> int:
     """A set's number, as a signed long."""
-    x = xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED)
+    return _signed(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED))
+
+
+def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -137,6 +143,19 @@ def may_be_similar(x: np.ndarray, x_n: int, ys: np.ndarray, ys_n: np.ndarray, m:
     return starts.any(axis=1)
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of sets that link all whose SimHashes are reachable at op6's distance:
+    sets of one fingerprint with the first of them, and forests of its buckets."""
+    heads = staged(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprint-heads")
+    buckets = bucket_rows(heads.select("fp"))
+    one = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    edges = link_edges(buckets).distinct().join(one("a"), "a").join(one("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    same = nodes.select("fp", "node").join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    pairs = staged(edges.union(same), "simhash-pairs")
+    release(heads, *buckets.staged_tables)
+    return pairs
+
+
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs a, b whose sizes and sketches allow that they are similar enough."""
     one = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
@@ -263,19 +282,25 @@ def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
 def similar_sets(docs: DataFrame, keys: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFrame:
     """node and root of each set that has a similar one. ``docs`` has text; ``keys``
     has key, node and n, for each text; ``nodes`` has node, n, sketch and the digest
-    of a text, once for each set."""
+    of a text, once for each set, and its SimHash fp."""
+    near = simhash_pairs(nodes)
+    linked = staged(components(_compared(_plausible(near, nodes), nodes, docs, size)), "simhash-components")
+    release(near)
     # counts are taken before the shuffle, and joined: no key's rows need meet in one task
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).filter("low <> high")
-    under = staged(keys.join(shared.select("key", "size"), "key").distinct(), "shared-keys")
+    under = keys.join(shared.select("key", "size"), "key").distinct().join(linked, "node", "left")
+    under = staged(under.withColumn("root", F.coalesce("root", "node")), "shared-keys")
     # a set whose keys are shared most stands in the middle of its copies
     rank = under.groupBy("node").agg((F.count("*") / F.first("n")).alias("share"), F.sum("size").alias("total"))
-    middle = F.max(F.struct("share", "total", "node"))
-    hub = under.select("key", "node").join(rank, "node").groupBy("key").agg(middle["node"].alias("a"))
-    first = under.select("key", "node").join(hub, "key").filter(F.col("a") != F.col("node"))
+    middle = F.max(F.struct("share", "total", "node", "root"))
+    hub = under.select("key", "node", "root").join(rank, "node").groupBy("key").agg(middle["node"].alias("a"), middle["root"].alias("a_root"))
+    first = under.select("key", "node", "root").join(hub, "key").filter(F.col("a_root") != F.col("root"))
     first = staged(first.select("a", F.col("node").alias("b")).distinct(), "hub-pairs")
 
-    found = staged(components(_compared(_plausible(first, nodes), nodes, docs, size)), "hub-components")
-    named = under.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    more = _compared(_plausible(first, nodes), nodes, docs, size)
+    found = staged(components(more.union(linked.select("node", "root"))), "hub-components")
+    release(linked)
+    named = under.drop("root").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     mixed = staged(named.join(mixed, "key"), "mixed-keys")
     release(under)
@@ -298,12 +323,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 
         def of(text: bytes) -> tuple:
             s = shingle_set(text, size)
-            return set_number(s), len(s), parity_sketch(s), keys_of(s, ranks).view(np.int64)
+            return set_number(s), len(s), _signed(fingerprint(s)), parity_sketch(s), keys_of(s, ranks).view(np.int64)
 
         return of
 
-    found = staged(_texts(rows, "node long, n int, sketch binary, keys array<long>", keyed), "shingle-keys")
-    nodes = staged(found.groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min("digest").alias("digest")), "sets")
+    found = staged(_texts(rows, "node long, n int, fp long, sketch binary, keys array<long>", keyed), "shingle-keys")
+    nodes = staged(found.groupBy("node").agg(F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("sketch").alias("sketch"), F.min("digest").alias("digest")), "sets")
     roots = staged(similar_sets(rows, found.select(F.explode("keys").alias("key"), "node", "n"), nodes, size), "roots")
     release(nodes)
     return found.join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("component"))

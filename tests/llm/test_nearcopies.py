@@ -1,9 +1,10 @@
 """Near copies by five-word shingles against brute force, and one row of each group."""
 
+import hashlib
 import random
 
 import corpus_pipeline
-from siltlake.llm import nearcopies
+from siltlake.llm import nearcopies, simhash
 
 
 def plain_set(text):
@@ -73,3 +74,28 @@ def test_threshold_is_met_exactly(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:8])), (3, " ".join(f"v{k}" for k in range(8))), (4, " ".join(f"v{k}" for k in range(7)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == [1, 3, 4]
+
+
+def test_simhashes_link_first(spark):
+    """Without any shared key: what is linked is what SimHashes of five words within two
+    bits name and whole sets confirm, and the links of large groups are kept."""
+    rnd, texts = random.Random(7), []
+    for _ in range(30):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(600)]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join([*words[:300], "edited", *words[301:]])]
+    sets = [nearcopies.shingle_set(t.encode()) for t in texts]
+    prints = [simhash.fingerprint(s) for s in sets]
+    numbers = [nearcopies.set_number(s) for s in sets]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    rows = [(numbers[i], len(s), signed[i], nearcopies.parity_sketch(s), hashlib.md5(texts[i].encode()).hexdigest()) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, n int, fp long, sketch binary, digest string")
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    keys = spark.createDataFrame([], "key long, node long, n int")
+    root = {r.node: r.root for r in nearcopies.similar_sets(docs, keys, nodes).collect()}
+    want = list(range(len(texts)))
+    for i in want:
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                want = [want[j] if g == want[i] else g for g in want]
+    got = [root.get(n, n) for n in numbers]
+    assert 30 <= len(set(want)) < 90 and len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
